@@ -59,13 +59,13 @@ SQL: dict[str, str] = {
         reach AS (SELECT id, id AS other FROM ids UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other)
         SELECT id, min(other) AS group_id FROM reach GROUP BY id""",
     "p7_found": r"""
-        WITH words AS (
-          SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+') AS w
-          FROM documents WHERE text IS NOT NULL),
-        items AS (
-          SELECT item_id, regexp_extract_all(translate(prompt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+') AS w
-          FROM eval_items WHERE prompt IS NOT NULL),
-        grams AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM items) t),
-        seen AS (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM words) t)
-        SELECT DISTINCT doc_id, item_id FROM seen JOIN grams USING (g)""",
+        WITH texts AS (
+          SELECT 'd' AS kind, doc_id AS id, text AS t FROM documents UNION ALL SELECT 'i', item_id, prompt FROM eval_items),
+        words AS (
+          SELECT kind, id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+') AS w FROM texts WHERE t IS NOT NULL),
+        flat AS (SELECT kind, id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM words),
+        grams AS (
+          SELECT kind, id, string_agg(word, ' ') OVER win AS g, count(*) OVER win AS n FROM flat
+          WINDOW win AS (PARTITION BY kind, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING))
+        SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM grams d JOIN grams i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i' AND d.n = 12 AND i.n = 12""",
 }
