@@ -140,7 +140,7 @@ def compact(
     repeated rows are one copy; other columns, of any name, are not stored.
     """
     before = current_snapshot(spark, store)
-    held = part_files(spark, store)
+    held = cut(part_files(spark, store), "held")
     prints = cut(_fingerprints(held), "prints")
     parts = before["parts"]
     wanted = ["embeddingpath", "run_index", "file_id", "ext", "size_bytes", "modified_at", "payload"]
