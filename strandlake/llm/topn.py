@@ -59,7 +59,10 @@ def _reader(n: int):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
-        asked = pd.concat(list(batches), ignore_index=True)  # names of row groups, a few bytes for each MB of data
+        parts = list(batches)
+        if not parts:
+            return
+        asked = pd.concat(parts, ignore_index=True)  # names of row groups, a few bytes for each MB of data
         nth: dict[str, float] = {}
         best: dict[str, list[float]] = {}
         for path, rg, lo, hi, top in asked.sort_values(["top", "path", "rg"], ascending=[False, True, True])[["path", "rg", "lo", "hi", "top"]].itertuples(index=False):
