@@ -49,12 +49,11 @@ def compress_chains(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Replace each path of degree-two vertices by an edge between its ends: ``(child, parent)`` of the path's vertices, and the edges that stay.
 
     List ranking: a directed edge into a path vertex points on to the edge that leaves it; doubling the pointers brings
-    every one to the end of its path. ``lo`` is the smallest vertex passed. A ring never ends; when the pointers have
-    gone further than there are path vertices, ``lo`` has seen the whole ring and becomes the parent.
+    every one to the end of its path. ``lo`` is the smallest vertex passed. A ring never ends; when a step closes no
+    vertex and lowers no ``lo``, every ``lo`` has seen its whole ring and becomes the parent.
     """
     middle = cut(_degrees(edges).where("d = 2").select(F.col("x"), "n1", "n2"), f"{name}-middle")
-    total = middle.count()
-    if not total:
+    if middle.isEmpty():
         return middle.select(F.col("x").alias("child"), F.col("n1").alias("parent")).limit(0), edges
     # from each path vertex both ways: (x, side) stands at the directed edge (a -> b)
     state = middle.select("x", F.lit(0).alias("side"), F.col("x").alias("a"), F.col("n1").alias("b"), F.lit(1).cast("long").alias("hops"), F.least("x", "n1").alias("lo"))
@@ -63,8 +62,14 @@ def compress_chains(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     marked = state.join(inner.withColumn("_in", F.lit(True)), "b", "left")
     state = cut(marked.select("x", "side", "a", "b", "hops", "lo", F.col("_in").isNull().alias("done")), f"{name}-rank")
     # the edge that leaves b when one comes from a is b's other one; its own pointer starts there
-    reach = 1
-    while reach <= 2 * total and not state.where("not done").isEmpty():
+    before = None
+    while True:
+        now = state.agg(F.count_if(~F.col("done")).alias("open"), F.sum(F.when(~F.col("done"), F.col("lo").cast("decimal(38,0)"))).alias("lo")).first()
+        # a path with open vertices closes some of them in each step; so if none closed, only rings are open, and if no
+        # "lo" fell either, windows that tile the ring agree on it: it is the ring's smallest vertex
+        if not now.open or now == before:
+            break
+        before = now
         ahead = state.select(F.col("x").alias("b"), "side", F.col("a").alias("_a2"), F.col("b").alias("_b2"), F.col("hops").alias("_h2"), F.col("lo").alias("_lo2"), F.col("done").alias("_d2"))
         turn = middle.select(F.col("x").alias("b"), F.col("n1").alias("_n1"))
         open_ = state.where("not done").join(turn, "b")
@@ -72,7 +77,6 @@ def compress_chains(edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         moved = open_.drop("_n1").join(ahead.withColumnRenamed("side", "_side"), ["b", "_side"])
         moved = moved.select("x", "side", F.col("_a2").alias("a"), F.col("_b2").alias("b"), (F.col("hops") + F.col("_h2")).alias("hops"), F.least("lo", "_lo2").alias("lo"), F.col("_d2").alias("done"))
         state = cut(state.where("done").unionByName(moved), f"{name}-rank")
-        reach *= 2
     ends = state.groupBy("x").agg(F.min("b").alias("e1"), F.max("b").alias("e2"), F.min("lo").alias("lo"), F.min("done").alias("done"))
     ends = cut(ends, f"{name}-ends")
     hung = ends.where("done").select(F.col("x").alias("child"), F.col("e1").alias("parent"))
@@ -102,7 +106,7 @@ def solve_core(edges: DataFrame, name: str) -> DataFrame:
     raise RuntimeError("the core didn't settle")
 
 
-def connected_groups(pairs: DataFrame, left: str = "qid", right: str = "sid", least_gain: float = 0.02) -> DataFrame:
+def connected_groups(pairs: DataFrame, left: str = "qid", right: str = "sid", least_gain: float = 0.1) -> DataFrame:
     """``(id, group_id)``: every id of either column once, with the smallest id, in byte order, of all that are linked to it.
 
     Ids are compared and given out without spaces around them and in upper case.
