@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandlake.functions.arrowtext import string_parts, to_strings
+
 #: Residues that count as alike, group by group.
 GROUPS = ["GAVLI", "FYW", "CM", "ST", "KRH", "DENQ", "P", "-", "X"]
 #: For each residue, the others whose exchange the BLOSUM62 matrix (public) scores at 0 or more. None reaches 6.
@@ -76,3 +81,51 @@ def html_alignment(*rows: Column) -> Column:
     """A table of one HTML row per string, a cell per column."""
     lines = [F.concat(F.lit("<tr><td>"), F.array_join(letters(r), "</td><td>"), F.lit("</td></tr>")) for r in rows]
     return F.concat(F.lit("<table>"), *lines, F.lit("</table>"))
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Consensus character of two residues, and group of a residue, by byte."""
+    con = np.full((256, 256), ord("."), np.uint8)
+    for a, others in EXCHANGES.items():
+        con[ord(a), list(others.encode())] = ord("+")
+    np.fill_diagonal(con, ord("|"))
+    con[ord("-"), :] = con[:, ord("-")] = ord(" ")
+    group = np.arange(256, dtype=np.int16) + 256
+    for k, letters_ in enumerate(GROUPS):
+        group[list(letters_.encode())] = k
+    return con, group
+
+
+CON, GROUP = _tables()
+
+
+def rates_of(a: pa.Array, b: pa.Array) -> pa.StructArray:
+    """``con``, ``ident`` and ``similarity`` of aligned strings, a whole Arrow batch at once; all null where either is null, the rates also where either is empty.
+
+    The same as :func:`consensus`, :func:`identity` and :func:`similarity`, for strings of ASCII letters.
+    """
+    (ao, ar), (bo, br) = string_parts(a), string_parts(b)
+    n = np.minimum(np.diff(ao), np.diff(bo))
+    out = np.append(0, np.cumsum(n))
+    within = np.arange(out[-1]) - np.repeat(out[:-1], n)
+    x, y = ar[within + np.repeat(ao[:-1], n)], br[within + np.repeat(bo[:-1], n)]
+    full = np.flatnonzero(n)
+    rate = np.full((2, len(n)), np.nan)
+    for k, same in enumerate((x == y, GROUP[x] == GROUP[y])):
+        if len(full):
+            rate[k, full] = np.add.reduceat(same.astype(np.int64), out[:-1][full]) / n[full]
+    text = to_strings(CON[x, y].tobytes(), out)
+    missing = np.asarray(pc.or_(a.is_null(), b.is_null()))
+    text = pc.if_else(pa.array(missing), pa.scalar(None, pa.string()), text)
+    rates = [pa.array(r, pa.float64(), mask=np.isnan(r) | missing) for r in rate]
+    return pa.StructArray.from_arrays([text, *rates], ["con", "ident", "similarity"])
+
+
+def alignment_rates(a: Column, b: Column) -> Column:
+    """``rates_of`` as a column; for tables of many alignments, where the expressions' cost per letter counts."""
+
+    @F.arrow_udf("con string, ident double, similarity double")
+    def rates(x: pa.Array, y: pa.Array) -> pa.Array:
+        return rates_of(x, y)
+
+    return rates(a, b)

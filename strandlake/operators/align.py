@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.operators.matrices import matrix, to_matrices, unit_rows
+from strandlake.operators.ranking import spread
 from strandlake.params import STOP_SCORE, AlignParams
 from strandlake.schema import HIT
 from strandlake.session import small_enough
@@ -191,7 +192,7 @@ def align_pairs(pairs: DataFrame, queries: DataFrame, targets: DataFrame, params
                         if (query := held.value.get(queryid)) is not None and (hits := align(query, target, params)):
                             yield _frame(queryid, dbid, hits, params.mode)
 
-        return work.mapInPandas(run, HIT)
+        return spread(work, "dbid", "qs").mapInPandas(run, HIT)
 
     q = to_matrices(queries).select(F.col("run_index").alias("queryid"), F.col("n").alias("nq"), F.col("emb").alias("a"))
     work = wanted.join(q, "queryid").join(t, "dbid").select("queryid", "dbid", "nq", "a", "nt", "b")
@@ -202,7 +203,7 @@ def align_pairs(pairs: DataFrame, queries: DataFrame, targets: DataFrame, params
                 if hits := align(matrix(a, nq), matrix(b, nt), params):
                     yield _frame(queryid, dbid, hits, params.mode)
 
-    return work.mapInPandas(run_pairs, HIT)
+    return spread(work, "queryid", "dbid").mapInPandas(run_pairs, HIT)
 
 
 def path_cells(pairs: DataFrame, queries: DataFrame, targets: DataFrame, params: AlignParams) -> DataFrame:
@@ -223,4 +224,25 @@ def path_cells(pairs: DataFrame, queries: DataFrame, targets: DataFrame, params:
                     y, x = y[inside], x[inside]
                     yield pd.DataFrame({"queryid": queryid, "dbid": dbid, "pathid": pathid, "k": np.arange(len(y)), "y": y, "x": x, "c": m[y, x]})
 
-    return work.mapInPandas(run, "queryid long, dbid long, pathid int, k int, y int, x int, c double")
+    return spread(work, "queryid", "dbid").mapInPandas(run, "queryid long, dbid long, pathid int, k int, y int, x int, c double")
+
+
+def similarity_cells(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(queryid, dbid, y, x, c)`` as :func:`strandlake.operators.score.residue_pairs`, by one matrix product per pair."""
+    q = to_matrices(queries).select(F.col("run_index").alias("queryid"), F.col("n").alias("nq"), F.col("emb").alias("a"))
+    t = to_matrices(targets).select(F.col("run_index").alias("dbid"), F.col("n").alias("nt"), F.col("emb").alias("b"))
+    work = pairs.select("queryid", "dbid").distinct().join(q, "queryid").join(t, "dbid").select("queryid", "dbid", "nq", "a", "nt", "b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for queryid, dbid, nq, a, nt, b in batch.itertuples(index=False):
+                m = similarity_map(matrix(a, nq), matrix(b, nt))
+                y, x = np.indices(m.shape, np.int32)
+                yield pd.DataFrame({"queryid": queryid, "dbid": dbid, "y": y.ravel(), "x": x.ravel(), "c": m.ravel()})
+
+    return spread(work, "queryid", "dbid").mapInPandas(run, "queryid long, dbid long, y int, x int, c double")
+
+
+def path_mask(paths: DataFrame) -> DataFrame:
+    """``(queryid, dbid, y, x)``: each cell that any path of a pair goes through, once."""
+    return paths.select("queryid", "dbid", "y", "x").distinct()

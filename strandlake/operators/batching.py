@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.residues import clean
+from strandlake.operators.ranking import positions
 
 BLOCK = 50_000
 RESIDUES_PER_BATCH = 6_000
@@ -91,6 +92,23 @@ def over_multiples(lengths: np.ndarray, budget: int = SLICE_RESIDUES) -> list[tu
     return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
 
+def before_multiples(lengths: np.ndarray, budget: int = 4_000) -> list[tuple[int, int]]:
+    """Contiguous batches that end one before each sequence whose running total passes the next multiple of the budget; no empty batch."""
+    total, limit, cuts = np.cumsum(lengths), budget, []
+    for i, t in enumerate(total.tolist()):
+        if t > limit:
+            cuts.append(i - 1)
+            limit += budget
+    edges = [0, *(c for c in cuts if c > 0), len(lengths)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+
+
+def resume_points(checkpoints: DataFrame) -> DataFrame:
+    """``(job_id, rank_id, last_batch)`` of each job's and rank's last saved checkpoint; that batch is done again. A null rank is a job in one process."""
+    last = checkpoints.where("job_id is not null").groupBy("job_id", "rank_id").agg(F.max(F.struct("saved_at", "last_batch")).alias("_r"))
+    return last.select("job_id", "rank_id", F.col("_r.last_batch").alias("last_batch"))
+
+
 def plan_batches(df: DataFrame, planner: Callable[[np.ndarray], list[tuple[int, int]]], group: str = "job_id", order: str = "run_index", length: str = "seqlen", block: int = BLOCK) -> DataFrame:
     """``(group, block, batch_no, first, last, sequences, residues)``: ``planner``'s batches of each group in the order of ``order``.
 
@@ -106,19 +124,13 @@ def plan_batches(df: DataFrame, planner: Callable[[np.ndarray], list[tuple[int,
         return pd.DataFrame(rows, columns=["g", "b", "batch_no", "first", "last", "sequences", "residues"])
 
     numbered = df.select(F.col(group).cast("long").alias("g"), F.col(order).cast("long").alias("o"), F.col(length).cast("long").alias("n"))
-    numbered = numbered.withColumn("b", F.floor((F.row_number().over(Window.partitionBy("g").orderBy("o")) - 1) / block))
+    numbered = positions(numbered, ["g"], ["o"], "k").withColumn("b", F.floor(F.col("k") / block)).drop("k")
     out = numbered.groupBy("g", "b").applyInPandas(plan, "g long, b long, batch_no int, first long, last long, sequences int, residues long")
     return out.withColumnsRenamed({"g": group, "b": "block"})
 
 
 def split_by_length(df: DataFrame, chunk: int, max_length: int, length: str = "seqlen", order: str = "run_index") -> DataFrame:
-    """``part``: ``CPU`` for sequences above ``max_length``; the others in chunks from 1 by rising length.
-
-    Positions come from the counts of each length, so no task sorts the whole table.
-    """
+    """``part``: ``CPU`` for sequences above ``max_length``; the others in chunks from 1 by rising length."""
     rows = df.withColumn("_long", F.col(length) > max_length)
-    counts = rows.where("not _long").groupBy(length).count()
-    before = counts.withColumn("_before", F.sum("count").over(Window.orderBy(length)) - F.col("count")).select(length, "_before")  # one row per length up to max_length
-    short = rows.where("not _long").withColumn("_n", F.row_number().over(Window.partitionBy(length).orderBy(order)))
-    short = short.join(F.broadcast(before), length).withColumn("part", F.floor((F.col("_before") + F.col("_n") - 1) / chunk + 1).cast("string"))
-    return short.drop("_n", "_before", "_long").unionByName(rows.where("_long").withColumn("part", F.lit("CPU")).drop("_long"))
+    short = positions(rows.where("not _long"), ["_long"], [length, order], "_n").withColumn("part", F.floor(F.col("_n") / chunk + 1).cast("string"))
+    return short.drop("_n", "_long").unionByName(rows.where("_long").withColumn("part", F.lit("CPU")).drop("_long"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.operators.batching import not_done
+from strandlake.operators.ranking import spread
 from strandlake.schema import RESIDUE
 
 #: An embedder turns a list of sequences into one ``[length, dim]`` matrix each.
@@ -53,7 +54,7 @@ def embed(index: DataFrame, make_embedder: Callable[[], Embedder] = HashEmbedder
                     yield pd.DataFrame({"run_index": key, "pos": np.arange(len(matrix), dtype=np.int32), "vec": list(matrix)})
 
     rows = todo.where(F.length(sequence) > 0).select("run_index", F.col(sequence).alias("s"))
-    return rows.mapInPandas(run, RESIDUE)
+    return spread(rows, "run_index").mapInPandas(run, RESIDUE)
 
 
 def to_half(residues: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.vectors import cosine, dimension_sums, norm, pool
 from strandlake.operators.matrices import matrix, to_matrices, unit_rows
+from strandlake.operators.ranking import spread
 from strandlake.params import POOL_WIDTH, ScreenParams
 from strandlake.session import small_enough
 
@@ -48,7 +49,7 @@ def chunk_scores(queries: DataFrame, targets: DataFrame, kernel: int, stride: in
     """
     q = to_matrices(queries)
     blocks = 1 if small_enough(q.select("run_index"), query_block) else q.count() // query_block + 1
-    t = to_matrices(targets)
+    t = spread(to_matrices(targets), "run_index")
     out = None
     for k in range(blocks):
         own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("run_index"), F.lit(blocks)) == k)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.residues import SPACER
+from strandlake.operators.ranking import spread
 from strandlake.session import broadcast_if_small, cut
 
 LEAST_RATIO = 0.7
@@ -159,26 +162,41 @@ def pack_lanes(hits: DataFrame, by: str = "score", order: str = "hit_id") -> Dat
 
     Hits are taken by falling score or rising ``qend`` (ties by ``order``): the first unplaced one that begins at or after
     the last end goes next to it; if there is none, the next lane begins. Give it the rows of :func:`plot_rows` with a
-    limit: a query's drawing is one group.
+    limit: a query's drawing is one group. A query of one score has shade 0.
     """
 
-    def lanes(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([by, order], ascending=[by != "score", True], ignore_index=True)
-        start, end = part["qstart"].to_numpy(), part["qend"].to_numpy()
-        lane, free, number = np.zeros(len(part), np.int32), np.ones(len(part), bool), 0
-        while free.any():
-            number, last, at = number + 1, 0, 0
-            placed = False
-            while True:
-                fits = np.flatnonzero(free & (start >= last))
-                if not len(fits):
-                    break
-                at = fits[0]
-                lane[at], free[at], last, placed = number, False, end[at], True
-            if not placed:
-                raise ValueError("a hit begins before position 0")
-        width = part["score"].max() - part["score"].min()
-        return pd.DataFrame({"qid": part["qid"], order: part[order], "lane": lane, "shade": (part["score"] - part["score"].min()) / width if width else 0.0})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last query of a batch may go on in the next one
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            q = held["qid"].to_numpy()
+            edges = np.flatnonzero(q[1:] != q[:-1]) + 1
+            if len(edges):
+                yield _lanes(held.iloc[: edges[-1]], order)
+                held = held.iloc[edges[-1] :].reset_index(drop=True)
+        if held is not None and len(held):
+            yield _lanes(held, order)
 
     rows = hits.where("qid is not null and qstart is not null and qend is not null").select("qid", order, "score", "qstart", "qend")
-    return rows.groupBy("qid").applyInPandas(lanes, f"qid string, {order} {dict(hits.dtypes)[order]}, lane int, shade double")
+    sorted_ = spread(rows, "qid").sortWithinPartitions("qid", F.col(by).desc() if by == "score" else F.col(by), order)
+    return sorted_.mapInPandas(run, f"qid string, {order} {dict(hits.dtypes)[order]}, lane int, shade double")
+
+
+def _lanes(part: pd.DataFrame, order: str) -> pd.DataFrame:
+    """Lanes of whole queries that follow one another, each in drawing order."""
+    q, start, end, score = (part[c].to_numpy() for c in ("qid", "qstart", "qend", "score"))
+    if (start < 0).any():
+        raise ValueError("a hit begins before position 0")
+    edges = [0, *(np.flatnonzero(q[1:] != q[:-1]) + 1).tolist(), len(q)]
+    lane, shade = np.zeros(len(q), np.int32), np.zeros(len(q))
+    for a, b in zip(edges, edges[1:]):
+        s, e, left, number = start[a:b].tolist(), end[a:b].tolist(), list(range(b - a)), 0
+        while left:
+            # one walk fills a lane: the first that fits starts over from the front, as a lane's end can also move back
+            number, last = number + 1, 0
+            while (k := next((k for k in left if s[k] >= last), None)) is not None:
+                lane[a + k], last = number, e[k]
+                left.remove(k)
+        low, high = score[a:b].min(), score[a:b].max()
+        shade[a:b] = (score[a:b] - low) / (high - low) if high > low else 0.0
+    return pd.DataFrame({"qid": q, order: part[order].to_numpy(), "lane": lane, "shade": shade})

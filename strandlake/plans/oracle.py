@@ -112,6 +112,7 @@ SQL: dict[str, str] = {
     "best_diagonal": _with(CELLS, "SELECT queryid, dbid, round(max(s), 5) AS best FROM (SELECT queryid, dbid, sum(c) AS s FROM cells GROUP BY queryid, dbid, y - x) t GROUP BY 1, 2"),
     "border_starts": _with(STARTS, "SELECT queryid, dbid, pathid, my, mx, round(h, 5) AS h FROM starts"),
     "traceback_paths": _with(PATHS, "SELECT queryid, dbid, pathid, k, y, x, round(c, 6) AS c FROM paths", True),
+    "path_mask": _with(PATHS, "SELECT DISTINCT queryid, dbid, y, x FROM paths", True),
     "moving_mean": _with(MEANS, "SELECT queryid, dbid, pathid, k, round(m, 6) AS m FROM means", True),
     "alignment_runs": _with(RUNS, "SELECT queryid, dbid, pathid, first, last, size, final FROM runs", True),
     "local_hits": _with(HITS, f"SELECT {KEYS} FROM flat", True),
@@ -188,6 +189,8 @@ SQL: dict[str, str] = {
     "slice_batches": f"""WITH {INDEX},
         t AS (SELECT job_id, run_index, seqlen, sum(seqlen) OVER (PARTITION BY job_id ORDER BY run_index) - seqlen AS upto FROM index_rows)
         SELECT job_id, min(run_index) AS first, max(run_index) AS last, count(*) AS sequences, CAST(sum(seqlen) AS BIGINT) AS residues FROM t GROUP BY job_id, upto // 7680""",
+    "resume_points": """
+        SELECT job_id, rank_id, last_batch FROM (SELECT *, row_number() OVER (PARTITION BY job_id, rank_id ORDER BY saved_at DESC, last_batch DESC NULLS LAST) AS n FROM emb_checkpoint WHERE job_id IS NOT NULL) t WHERE n = 1""",
     "resume_rows": f"""WITH {INDEX} SELECT run_index, job_id, seqlen FROM index_rows i
         WHERE NOT EXISTS (SELECT 1 FROM embfile e WHERE e.run_index = i.run_index AND ext = '.emb' AND size_bytes > 0 AND octet_length(payload) = size_bytes)""",
     "length_chunks": f"""WITH {INDEX}

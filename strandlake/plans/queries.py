@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions.residues import consensus, identity, similarity
+from strandlake.functions.residues import alignment_rates
 from strandlake.operators import align, batching, hits, output, score, screen, tools
 from strandlake.operators.compaction import compact, read_store
 from strandlake.operators.embed import HashEmbedder, embed
@@ -40,7 +40,7 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = fixture(spark, sf_dir)
-    return score.residue_pairs(fx.pairs, fx.queries, fx.targets)
+    return align.similarity_cells(fx.pairs, fx.queries, fx.targets)
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,14 @@ def _flat(found: DataFrame) -> DataFrame:
 
 @query
 def residue_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir).withColumn("c", F.round("c", 6))
+    """The plan without Python."""
+    fx = fixture(spark, sf_dir)
+    return score.residue_pairs(fx.pairs, fx.queries, fx.targets).withColumn("c", F.round("c", 6))
+
+
+@query
+def path_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.path_mask(_paths(spark, sf_dir))
 
 
 @query
@@ -94,7 +101,7 @@ def best_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def border_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = fixture(spark, sf_dir)
-    scored = score.score_matrix(score.residue_pairs(fx.pairs, fx.queries, fx.targets))
+    scored = score.score_matrix(align.similarity_cells(fx.pairs, fx.queries, fx.targets))
     q = fx.queries.groupBy(F.col("run_index").alias("queryid")).agg(F.count("*").cast("int").alias("nq"))
     t = fx.targets.groupBy(F.col("run_index").alias("dbid")).agg(F.count("*").cast("int").alias("nt"))
     lengths = fx.pairs.join(q, "queryid").join(t, "dbid")
@@ -233,8 +240,8 @@ def full_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consensus, identity and similarity of every delivered alignment, computed anew."""
     rows = table(spark, sf_dir, "hits")
-    q, t = F.col("qseq"), F.col("tseq")
-    return rows.select("hit_id", "loaded_at", consensus(q, t).alias("con"), F.round(identity(q, t), 6).alias("ident"), F.round(similarity(q, t), 6).alias("similarity"))
+    rows = rows.select("hit_id", "loaded_at", alignment_rates(F.col("qseq"), F.col("tseq")).alias("_r"))
+    return rows.select("hit_id", "loaded_at", "_r.con", F.round("_r.ident", 6).alias("ident"), F.round("_r.similarity", 6).alias("similarity"))
 
 
 @query
@@ -324,6 +331,16 @@ def adaptive_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batching.plan_batches(_index(spark, sf_dir), batching.groups_of_four)
 
 
+@query
+def multiple_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.plan_batches(_index(spark, sf_dir), batching.before_multiples)
+
+
+@query
+def resume_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batching.resume_points(table(spark, sf_dir, "emb_checkpoint"))
+
+
 @query
 def resume_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of the index without a stored embedding."""

@@ -132,3 +132,22 @@ def test_completeness(spark):
     assert [r.run_index for r in sequences.missing_embeddings(index, residues).collect()] == [1]
     assert sequences.store_files(index, "db/").orderBy("run_index").first().file == "db/0.emb"
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_rates_of_a_batch_are_the_expressions(spark):
+    import random
+
+    from strandlake.functions.residues import alignment_rates
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("ACDEFGHIKLMNPQRSTVWYBZX-*") for _ in range(rng.randint(0, 30)))
+    rows = [(k, word() if k % 17 else None, word() if k % 13 else None) for k in range(500)]
+    df = spark.createDataFrame(rows, "k long, a string, b string").where("a is null or b is null or length(a) = length(b) or k > 250")
+    same = df.where("length(a) = length(b)").union(df.where("a is null or b is null"))
+    same = same.withColumn("r", alignment_rates(F.col("a"), F.col("b")))
+    a, b = F.col("a"), F.col("b")
+    bad = same.where("a != '' and b != ''").where((F.col("r.con") != consensus(a, b)) | (F.col("r.ident") != identity(a, b)) | (F.col("r.similarity") != similarity(a, b)))
+    assert bad.count() == 0
+    assert same.where("(a is null or b is null) and (r.con is not null or r.ident is not null)").count() == 0
+    cut = df.where("length(a) != length(b)").withColumn("r", alignment_rates(a, b)).where("length(r.con) != least(length(a), length(b))")
+    assert cut.count() == 0
