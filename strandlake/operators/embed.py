@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +46,21 @@ def embed(index: DataFrame, make_embedder: Callable[[], Embedder] = HashEmbedder
     """
     todo = index if done is None else not_done(index, done)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_embedder()
         for batch in batches:
-            for k in range(0, len(batch), batch_size):
-                part = batch.iloc[k : k + batch_size]
-                for key, matrix in zip(part["run_index"], model(part["s"].tolist())):
-                    yield pd.DataFrame({"run_index": key, "pos": np.arange(len(matrix), dtype=np.int32), "vec": list(matrix)})
-
-    rows = todo.where(F.length(sequence) > 0).select("run_index", F.col(sequence).alias("s"))
-    return spread(rows, "run_index").mapInPandas(run, RESIDUE)
+            for k in range(0, batch.num_rows, batch_size):
+                part = batch.slice(k, batch_size)
+                made = [np.asarray(m, np.float64) for m in model(part.column(1).to_pylist())]
+                size = np.array([len(m) for m in made])
+                values = np.concatenate(made)
+                at = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1], pa.int32())
+                pos = np.arange(len(values), dtype=np.int32) - np.repeat(np.cumsum(size) - size, size).astype(np.int32)
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(len(size)), size)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(pos), pa.ListArray.from_arrays(at, pa.array(values.ravel()))], ["run_index", "pos", "vec"])
+
+    rows = todo.where(F.length(sequence) > 0).select(F.col("run_index").cast("long").alias("run_index"), F.col(sequence).alias("s"))
+    return spread(rows, "run_index").mapInArrow(run, RESIDUE)
 
 
 def to_half(residues: DataFrame) -> DataFrame:
