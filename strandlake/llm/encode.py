@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from strandlake.functions.arrowtext import row_slices, string_parts
+from strandlake.llm.longtext import token_pieces
 
 SLICE_BYTES = 1 << 20
 CACHE_WORDS = 400_000
@@ -277,7 +278,12 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str | None = None) -
         for batch in batches:
             offsets, raw = string_parts(batch.column(1))
             for a, b in row_slices(offsets, SLICE_BYTES):
-                ids, counts = coder.encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                own, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                if b - a > 1 or len(own) <= 2 * SLICE_BYTES:
+                    ids, counts = coder.encode(own, at)
+                else:
+                    parts = [coder.encode(own[x:y], np.array([0, y - x]))[0] for x, y in token_pieces(own, SLICE_BYTES)]
+                    ids, counts = np.concatenate(parts), np.array([sum(map(len, parts))])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], [key, "ids"])
 

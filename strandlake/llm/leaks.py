@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ SLICE_BYTES = 2 << 20
 BITS = 20
 BASE, STEP = 0x100000001B3, 0x9E3779B97F4A7C15
 WORD = re.compile(rb"[0-9a-z]+")
+ANY_WORD = re.compile(rb"[0-9A-Za-z]+")
+BREAK = re.compile(rb"[^0-9A-Za-z]")
+REACH = 1 << 20  # the words of one window behind a cut are looked for so far
 
 LOWER = np.zeros(256, np.uint8)  # 0: not part of a word
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
@@ -112,7 +116,25 @@ class LeakIndex:
         return self.__dict__ | {"_windows": None}
 
     def scan(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, list[int], int, int]]:
-        """Text ordinal, items, and byte bounds of every window that stands in an item."""
+        """Text ordinal, items, and byte bounds of every window that stands in an item.
+
+        A long text is taken in pieces; each reaches over its end by a window of words, so windows there may come twice.
+        """
+        if len(offsets) == 2 and len(raw) > 2 * SLICE_BYTES:
+            at = 0
+            while at < len(raw):
+                cut = next((m.start() for m in BREAK.finditer(raw[at + SLICE_BYTES : at + 2 * SLICE_BYTES].tobytes())), SLICE_BYTES)
+                end = at + SLICE_BYTES + cut
+                after = list(islice(ANY_WORD.finditer(raw[end : end + REACH].tobytes()), self.window))
+                stop = end + (after[-1].end() if len(after) == self.window else REACH)
+                own = raw[at:stop]
+                for _, owners, x, y in self._scan(own, np.array([0, len(own)])):
+                    yield 0, owners, at + x, at + y
+                at = end
+        else:
+            yield from self._scan(raw, offsets)
+
+    def _scan(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, list[int], int, int]]:
         if self._windows is None:
             self._windows = Windows(self.window)
         if not len(raw) or not len(self.sorted):

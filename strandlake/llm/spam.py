@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandlake.functions.arrowtext import row_slices, string_parts
+from strandlake.llm.longtext import line_pieces
 
 SLICE_BYTES = 1 << 20
+LONG_BYTES = 4 << 20
 #: A document is flagged if more than this share of its text is in link lists, tag lists or menus.
 THRESHOLD = 0.5
 #: The model is fitted on about this many documents (of at most so many characters), drawn by a hash of their key.
@@ -70,7 +72,21 @@ class LineScanner:
                 self.up, self.down = np.cumprod(a, dtype=np.uint64), np.cumprod(b, dtype=np.uint64)
 
     def scan(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
-        """Text ordinal and size of each line, and its observation in each of ``FIELDS``."""
+        """Text ordinal and size of each line, and its observation in each of ``FIELDS``.
+
+        A long text is taken in pieces of whole lines, after its words were counted over all pieces; a line above
+        ``LONG_BYTES`` counts as several.
+        """
+        if len(offsets) != 2 or len(raw) <= LONG_BYTES:
+            return self._scan(raw, offsets)
+        pieces = list(line_pieces(raw, LONG_BYTES))
+        words, counts = (np.concatenate(x) for x in zip(*(self._scan(raw[a:b], np.array([0, b - a]), count_only=True) for a, b in pieces)))
+        known, back = np.unique(words, return_inverse=True)
+        table = known, np.bincount(back, weights=counts, minlength=len(known)).astype(np.int64)
+        text, size, seen = zip(*(self._scan(raw[a:b], np.array([0, b - a]), table) for a, b in pieces))
+        return np.concatenate(text), np.concatenate(size), {f: np.concatenate([s[f] for s in seen]) for f in FIELDS}
+
+    def _scan(self, raw: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.ndarray] | None = None, count_only: bool = False):
         n = len(raw)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), {k: np.zeros(0, np.int8) for k in FIELDS}
@@ -118,8 +134,14 @@ class LineScanner:
         place = np.minimum(np.searchsorted(self.function, h), len(self.function) - 1)
         is_function = self.function[place] == h
         with np.errstate(over="ignore"):
-            _, back, count = np.unique(h + word_text.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), return_inverse=True, return_counts=True)
-        often = (count[back] >= 4) & ~is_function & ~((raw[a] >= 48) & (raw[a] <= 57))
+            if table is None:
+                words_seen, back, count = np.unique(h + word_text.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), return_inverse=True, return_counts=True)
+                if count_only:
+                    return words_seen, count
+                times = count[back]
+            else:
+                times = table[1][np.searchsorted(table[0], h)]
+        often = (times >= 4) & ~is_function & ~((raw[a] >= 48) & (raw[a] <= 57))
         words = np.bincount(word_line, minlength=lines)
         content = np.bincount(word_line, weights=~is_function, minlength=lines)
         share = lambda part, whole: part / np.maximum(whole, 1)

@@ -2,7 +2,8 @@
 
 The current rows are written once, ordered by group and falling score over all files, in Parquet row groups of bounded
 size. Row groups are then taken in falling order of their greatest score; one that lies strictly below the N-th score
-that its only group has reached already isn't read. The order spreads a group of any size over many files.
+that its only group has reached already isn't read. The order spreads a group of any size over many files. A row group of
+several groups is always read: in this order all but its first and last group lie in it whole, so nothing is known of them.
 """
 
 from __future__ import annotations

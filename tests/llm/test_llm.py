@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions.arrowtext import string_parts
-from strandlake.llm import components, encode, leaks, packing, spam, topn
+from strandlake.llm import components, encode, leaks, longtext, packing, spam, topn
 
 
 # --- top n ---------------------------------------------------------------------------------------------------------
@@ -304,6 +304,33 @@ def test_long_page(spark):
     assert [r.doc_id for r in spam.find_spam_pages(df, model=spam.LineModel.prior()).collect()] == [2]
 
 
+def test_long_texts_in_pieces(coder, monkeypatch):
+    """Whatever the size of the pieces, the result is that of one pass."""
+    rng = random.Random(8)
+    words = ["word", "it's", "x=1;", "été", "你好", "\n", "\n\n  ", " ", "\t", "12", "END.\n", "https://a.test/b", "cheap"]
+    text = "".join(rng.choice(words) + rng.choice(["", " ", " ", "\n"]) for _ in range(60_000))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    whole = np.array([0, len(raw)])
+    ids = coder.encode(raw, whole)[0]
+    parts = list(longtext.token_pieces(raw, 3000))
+    assert len(parts) > 50 and np.array_equal(np.concatenate([coder.encode(raw[a:b], np.array([0, b - a]))[0] for a, b in parts]), ids)
+
+    scanner = spam.LineScanner()
+    one = scanner.scan(raw, whole)
+    monkeypatch.setattr(spam, "LONG_BYTES", 5000)
+    assert len(list(longtext.line_pieces(raw, 5000))) > 30
+    many = scanner.scan(raw, whole)
+    assert np.array_equal(one[1], many[1]) and all(np.array_equal(one[2][f], many[2][f]) for f in spam.FIELDS)
+
+    passage = " ".join(f"alpha{k}" for k in range(30))
+    long = (" filler" * 700 + " " + passage) * 40
+    index = leaks.LeakIndex([(1, passage)])
+    raw = np.frombuffer(long.encode(), np.uint8)
+    plain = set((x, y) for _, _, x, y in index.scan(raw, np.array([0, len(raw)])))
+    monkeypatch.setattr(leaks, "SLICE_BYTES", 1000)
+    assert set((x, y) for _, _, x, y in index.scan(raw, np.array([0, len(raw)]))) == plain and len(plain) == 40 * 19
+
+
 def test_labels_hold_out(spark, data):
     """The fitted model must agree with a plain word rule on documents that it wasn't fitted on."""
     docs = spark.read.parquet(f"{data}/documents.parquet")
