@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.vectors import cosine, dimension_sums, norm, pool
+from strandlake.functions.vectors import norm, pool
 from strandlake.operators.matrices import matrix, to_matrices, unit_rows
 from strandlake.operators.ranking import spread
 from strandlake.params import POOL_WIDTH, ScreenParams
@@ -41,19 +41,18 @@ def _fold_matrix(m: np.ndarray, kernel: int, stride: int) -> np.ndarray:
     return unit_rows(np.lib.stride_tricks.sliding_window_view(m, (kernel, m.shape[1]))[at, 0].reshape(len(at), -1))
 
 
-def chunk_scores(queries: DataFrame, targets: DataFrame, kernel: int, stride: int, query_block: int = 2_000) -> DataFrame:
-    """``(queryid, dbid, score)``: the greatest cosine of any fold of the query with any fold of the target.
+def _scores_in_blocks(queries: DataFrame, targets: DataFrame, rows_of: Callable[[np.ndarray], np.ndarray], query_block: int) -> DataFrame:
+    """``(queryid, dbid, score)``: the greatest product of any row that ``rows_of`` makes of the query's matrix with any of the target's.
 
     The queries are held in blocks of at most about ``query_block`` sequences (checked); the targets are scanned once per
-    block and multiplied in Arrow batches, so nothing but the scores is shuffled. A fold of length 0 is an error.
+    block and multiplied in Arrow batches, so nothing but the scores is shuffled.
     """
-    q = to_matrices(queries)
+    q, t = to_matrices(queries), spread(to_matrices(targets), "run_index")
     blocks = 1 if small_enough(q.select("run_index"), query_block) else q.count() // query_block + 1
-    t = spread(to_matrices(targets), "run_index")
     out = None
     for k in range(blocks):
         own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("run_index"), F.lit(blocks)) == k)
-        rows = [(r.run_index, _fold_matrix(matrix(r.emb, r.n), kernel, stride)) for r in own.collect()]  # bounded by query_block
+        rows = [(r.run_index, rows_of(matrix(r.emb, r.n))) for r in own.collect()]  # bounded by query_block
         held = queries.sparkSession.sparkContext.broadcast(rows)
 
         def scan(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
@@ -64,9 +63,9 @@ def chunk_scores(queries: DataFrame, targets: DataFrame, kernel: int, stride: in
             begin = np.cumsum([0, *(len(m) for _, m in held.value)])[:-1]
             for batch in batches:
                 for key, n, emb in batch.itertuples(index=False):
-                    best = (side @ _fold_matrix(matrix(emb, n), kernel, stride).T).max(axis=1)
+                    best = (side @ rows_of(matrix(emb, n)).T).max(axis=1)
                     if np.isnan(best).any():
-                        raise ValueError(f"target {key} or a query has a fold of length 0")
+                        raise ValueError(f"target {key} or a query has a vector of length 0")
                     yield pd.DataFrame({"queryid": keys, "dbid": key, "score": np.maximum.reduceat(best, begin)})
 
         part = t.mapInPandas(scan, "queryid long, dbid long, score double")
@@ -74,6 +73,11 @@ def chunk_scores(queries: DataFrame, targets: DataFrame, kernel: int, stride: in
     return out
 
 
+def chunk_scores(queries: DataFrame, targets: DataFrame, kernel: int, stride: int, query_block: int = 2_000) -> DataFrame:
+    """``(queryid, dbid, score)``: the greatest cosine of any fold of the query with any fold of the target. A fold of length 0 is an error."""
+    return _scores_in_blocks(queries, targets, lambda m: _fold_matrix(m, kernel, stride), query_block)
+
+
 def quantile_by_query(scores: DataFrame, quantile: float, bins: int = 4096) -> DataFrame:
     """``(queryid, threshold)``: the exact quantile (linear interpolation) of each query's scores.
 
@@ -101,19 +105,11 @@ def keep_quantile(scores: DataFrame, quantile: float) -> DataFrame:
     return scores.join(quantile_by_query(scores, quantile), "queryid").where("score >= threshold").drop("threshold")
 
 
-def whole_sequence_screen(queries: DataFrame, targets: DataFrame, dim: int, quantile: float = 0.9) -> DataFrame:
-    """``(queryid, dbid, score)``: cosine of residue sums, at or above one quantile over each query's targets."""
+def whole_sequence_screen(queries: DataFrame, targets: DataFrame, quantile: float = 0.9, query_block: int = 20_000) -> DataFrame:
+    """``(queryid, dbid, score)``: cosine of residue sums, at or above one quantile over each query's targets. A sum of length 0 is an error."""
     if not 0 < quantile < 1:
         raise ValueError("quantile must be between 0 and 1")
-
-    def sums(residues: DataFrame, key: str, name: str) -> DataFrame:
-        return residues.groupBy(F.col("run_index").alias(key)).agg(*dimension_sums(F.col("vec"), dim)).select(key, F.array(*[f"_s{i}" for i in range(dim)]).alias(name))
-
-    q, t = sums(queries, "queryid", "a"), sums(targets, "dbid", "b")
-    q = F.broadcast(q) if small_enough(q, 10_000) else q
-    # a stated set of queries against every target
-    scores = t.join(q, F.lit(True)).select("queryid", "dbid", cosine(F.col("a"), F.col("b")).alias("score"))
-    return keep_quantile(scores, quantile)
+    return keep_quantile(_scores_in_blocks(queries, targets, lambda m: unit_rows(m.sum(axis=0, keepdims=True)), query_block), quantile)
 
 
 def symmetric_pairs(pairs: DataFrame, value: str = "score") -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,7 @@ from strandlake.functions.arrowtext import row_slices, string_parts, to_strings
 SEPARATORS = "|;,\t"
 QUOTES = "\"'"
 SLICE_BYTES = 4 << 20
+PIECE = pa.struct([pa.field("pos", pa.int32()), pa.field("piece", pa.string())])
 
 
 def _quoted_regions(raw: np.ndarray, escaped_sep: np.ndarray, sep: np.ndarray, starts: np.ndarray, row_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,12 +76,12 @@ def _quoted_regions(raw: np.ndarray, escaped_sep: np.ndarray, sep: np.ndarray, s
     return candidates[real], close[real]
 
 
-def split_batch(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Row ordinal, position from 1 and text of every non-empty piece of a string column."""
+def split_lists(column: pa.Array) -> pa.ListArray:
+    """The non-empty pieces of each string as a list of ``(pos, piece)``; positions count from 1."""
     offsets, raw = string_parts(column)
     n = len(raw)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), pa.array([], pa.string())
+        return pa.array([[]] * len(column), pa.list_(PIECE))
     filled = np.flatnonzero(np.diff(offsets) > 0)
     starts = offsets[:-1][filled]
     row_of = np.repeat(np.arange(len(filled)), np.diff(offsets)[filled])
@@ -97,7 +99,6 @@ def split_batch(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     marks = np.zeros(n, bool)
     marks[opens] = marks[closes] = True
     real = sep & ~escaped & ~inside
-    first_of = head | np.append(False, real[:-1])
     # pieces: a separator opens the next piece; the row's start opens its first one
     piece = np.cumsum(head) + np.cumsum(real) - 1
     piece_rows = np.append(row_of[starts], row_of[real]) if len(starts) else row_of[:0]
@@ -131,8 +132,16 @@ def split_batch(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     text_at = np.append(0, np.cumsum(length))
     full = np.flatnonzero(length)
     text = raw[keep]
-    del first_of
-    return filled[piece_rows[full]], ordinal[full].astype(np.int32), to_strings(text.tobytes(), np.append(text_at[full], text_at[-1]))
+    pieces = pa.StructArray.from_arrays([pa.array(ordinal[full].astype(np.int32)), to_strings(text.tobytes(), np.append(text_at[full], text_at[-1]))], fields=list(PIECE))
+    children = np.bincount(filled[piece_rows[full]], minlength=len(column))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(children)), pa.int32()), pieces)
+
+
+def split_batch(column: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Row ordinal, position from 1 and text of every non-empty piece of a string column: the lists, flattened with their parents."""
+    lists = split_lists(column)
+    flat = lists.flatten()
+    return pc.list_parent_indices(lists), flat.field("pos"), flat.field("piece")
 
 
 def split_values(df: DataFrame, key: str, value: str, tab_name: str | None = None, ignore: tuple[str, ...] = ("na",)) -> DataFrame:
@@ -157,7 +166,7 @@ def split_values(df: DataFrame, key: str, value: str, tab_name: str | None = Non
             offsets, _ = string_parts(values)
             for a, b in row_slices(offsets, SLICE_BYTES):
                 rows, pos, pieces = split_batch(values.slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows + a)), pa.array(pos, pa.int32()), pieces], ["row_key", "pos", "piece"])
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a).take(rows), pos, pieces], ["row_key", "pos", "piece"])
 
     wanted = df.where(usable(F.col(value), ignore)).select(F.col(key).alias("row_key"), F.col(value).alias("value"))
     out = wanted.mapInArrow(scan, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.residues import SPACER
-from strandlake.operators.ranking import spread
+from strandlake.operators.ranking import positions, spread
 from strandlake.session import broadcast_if_small, cut
 
 LEAST_RATIO = 0.7
@@ -79,8 +79,8 @@ def chain_numbers(hits: DataFrame) -> DataFrame:
     return placed.join(numbered, "_m")
 
 
-def merge_chains(hits: DataFrame, least_score: float | None = None) -> DataFrame:
-    """One row per chain of each subject: mean rates to 2 decimals, first start, last end, texts joined by ``~~~~~``.
+def merge_chains(hits: DataFrame, least_score: float | None = None, decimals: int = 2) -> DataFrame:
+    """One row per chain of each subject: mean rates to ``decimals``, first start, last end, texts joined by ``~~~~~``.
 
     A chain of one hit comes out as it is. Rows with a null subject or start are left out.
     """
@@ -92,7 +92,7 @@ def merge_chains(hits: DataFrame, least_score: float | None = None) -> DataFrame
         return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_m", c))), lambda r: r[c]), spacer)
 
     def mean(c: str) -> Column:
-        return F.when(F.count("*") > 1, F.round(F.avg(c), 2)).otherwise(F.first(c))
+        return F.when(F.count("*") > 1, F.round(F.avg(c), decimals)).otherwise(F.first(c))
 
     out = chained.groupBy("sid", "chain").agg(
         first("qid").alias("qid"), mean("score").alias("score"), mean("ident").alias("ident"), mean("similarity").alias("similarity"),
@@ -145,7 +145,7 @@ def colour_numbers(rows: DataFrame, unnamed: str = "X: NO_X_NAME") -> DataFrame:
     """``(X, T, colour)``: X groups numbered in order of their name from 0; the unnamed group has none (grey)."""
     groups = rows.where("X is not null and T is not null").select("X", "T").distinct()
     names = groups.where(F.col("X") != unnamed).select("X").distinct()
-    numbered = names.withColumn("colour", F.row_number().over(Window.orderBy("X")) - 1)  # one row per named group
+    numbered = positions(names, [], ["X"], "colour")
     return groups.join(broadcast_if_small(numbered), "X", "left")
 
 

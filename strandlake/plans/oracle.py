@@ -80,7 +80,7 @@ flat AS MATERIALIZED (SELECT queryid, dbid, pathid, spanid, first AS span_start,
 best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY queryid, dbid, pathid, len, round(score, 9) ORDER BY y1, x1) AS r2 FROM (
     SELECT *, row_number() OVER (PARTITION BY queryid, dbid, y1, x1 ORDER BY round(score, 9) DESC, len DESC, pathid, spanid) AS r FROM flat) a WHERE r = 1) b WHERE r2 = 1)"""
 
-POOLED = BASE + """,
+POOL_STEPS = """,
 tpool AS (SELECT run_index, pos, list_transform(range(0, 4), lambda i: list_sum(vec[i * 16 + 1 : i * 16 + 16]) / 16) AS v FROM tres),
 qpool AS (SELECT run_index, pos, list_transform(range(0, 4), lambda i: list_sum(vec[i * 16 + 1 : i * 16 + 16]) / 16) AS v FROM qres),
 tf AS MATERIALIZED (SELECT run_index, fold, o, p.v FROM (SELECT run_index, unnest(range(0, 9)) AS fold FROM (SELECT DISTINCT run_index FROM tres) t) f CROSS JOIN (SELECT unnest(range(0, 10)) AS o) k JOIN tpool p USING (run_index) WHERE p.pos = fold * 5 + o),
@@ -90,6 +90,10 @@ qn AS (SELECT run_index, fold, sqrt(sum(list_dot_product(v, v))) AS norm FROM qf
 dots AS (SELECT q.run_index AS queryid, t.run_index AS dbid, q.fold AS qfold, t.fold AS tfold, sum(list_dot_product(q.v, t.v)) AS d FROM qf q JOIN tf t USING (o) GROUP BY 1, 2, 3, 4),
 chunks AS MATERIALIZED (SELECT queryid, dbid, max(d / (qn.norm * tn.norm)) AS score FROM dots JOIN qn ON qn.run_index = queryid AND qn.fold = qfold JOIN tn ON tn.run_index = dbid AND tn.fold = tfold GROUP BY 1, 2)"""
 
+POOLED = BASE + POOL_STEPS
+
+KEPT = "kept AS (SELECT * FROM (SELECT *, quantile_cont(score, 0.7) OVER (PARTITION BY queryid) AS thr FROM chunks) t WHERE score >= thr)"
+
 INDEX = "index_rows AS (SELECT DISTINCT ON (run_index) *, coalesce(seqlens, length(seq)) AS seqlen FROM seqindex ORDER BY run_index)"
 CURRENT_SCORED = "(SELECT DISTINCT ON (hit_id, score) * FROM hits WHERE score IS NOT NULL AND NOT isnan(score))"
 DRAWN = """drawn AS (SELECT hit_id, qid, score, qstart, qend FROM (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY loaded_at DESC) AS n FROM hits WHERE qid IS NOT NULL AND (score IS NULL OR NOT isnan(score))) t WHERE n = 1)"""
@@ -100,6 +104,25 @@ def _with(steps: str, final: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{steps.strip()}\n{final}"
 
 
+def _output(steps: str, best: str, rounded: str) -> str:
+    return _with(steps + """,
+        drawn AS (
+          SELECT p.queryid, p.dbid, p.pathid, p.spanid, b.score, q.sequence AS qs, t.sequence AS ts, p.k, p.y, p.x,
+            CASE WHEN lag(p.x) OVER w IS DISTINCT FROM p.x THEN substr(q.sequence, p.x + 1, 1) ELSE '-' END AS qc,
+            CASE WHEN lag(p.y) OVER w IS DISTINCT FROM p.y THEN substr(t.sequence, p.y + 1, 1) ELSE '-' END AS tc
+          FROM """ + best + """ b JOIN points p USING (queryid, dbid, pathid, spanid) JOIN idx q ON q.run_index = p.queryid JOIN idx t ON t.run_index = p.dbid
+          WHERE b.score >= 0.3 WINDOW w AS (PARTITION BY p.queryid, p.dbid, p.pathid, p.spanid ORDER BY p.k)),
+        lines AS (
+          SELECT queryid, dbid, """ + rounded + """(max(score), 3) AS score, string_agg(qc, '' ORDER BY k) AS qseq, string_agg(tc, '' ORDER BY k) AS tseq,
+            string_agg(CASE WHEN qc = '-' OR tc = '-' THEN ' ' WHEN qc = tc THEN '|' WHEN contains('""" + PAIRS + """', qc || tc) THEN '+' ELSE '.' END, '' ORDER BY k) AS con,
+            """ + rounded + """(avg(CASE WHEN qc = tc THEN 1.0 ELSE 0.0 END), 2) AS ident,
+            """ + rounded + """(avg(CASE WHEN translate(qc, '""" + LETTERS + "', '" + CODES + "') = translate(tc, '" + LETTERS + "', '" + CODES + """') THEN 1.0 ELSE 0.0 END), 2) AS similarity,
+            min(x) AS qstart, max(x) AS qend, min(y) AS tstart, max(y) AS tend, max(length(qs)) AS qlen, max(length(ts)) AS tlen
+          FROM drawn GROUP BY queryid, dbid, pathid, spanid)""", """
+        SELECT 'S' || lpad(CAST(queryid AS VARCHAR), 6, '0') AS qid, score, ident, similarity, 'S' || lpad(CAST(dbid AS VARCHAR), 6, '0') AS sid, qstart, qend, qseq, con, tseq,
+          tstart, tend, tlen, qlen, qend - qstart + 1 AS match_len, 'from vector ' || CAST(dbid * 25 AS VARCHAR) AS sdesc FROM lines""", True)
+
+
 SQL: dict[str, str] = {
     "residue_cosine": _with(CELLS, "SELECT queryid, dbid, y, x, round(c, 6) AS c FROM cells"),
     "signal_enhancement": _with(CELLS, """
@@ -123,27 +146,28 @@ SQL: dict[str, str] = {
           JOIN points p ON p.queryid = r.queryid AND p.dbid = r.dbid AND p.pathid = r.pathid AND p.spanid = r.spanid)""", """
         SELECT a.queryid, a.dbid, a.r AS i, b.r AS j, round(count(*) / max(b.n), 6) AS share FROM cellsof a
         JOIN cellsof b ON a.queryid = b.queryid AND a.dbid = b.dbid AND a.y = b.y AND a.x = b.x AND a.r > b.r GROUP BY 1, 2, 3, 4""", True),
-    "search_output": _with(HITS + """,
-        drawn AS (
-          SELECT p.queryid, p.dbid, p.pathid, p.spanid, b.score, q.sequence AS qs, t.sequence AS ts, p.k, p.y, p.x,
-            CASE WHEN lag(p.x) OVER w IS DISTINCT FROM p.x THEN substr(q.sequence, p.x + 1, 1) ELSE '-' END AS qc,
-            CASE WHEN lag(p.y) OVER w IS DISTINCT FROM p.y THEN substr(t.sequence, p.y + 1, 1) ELSE '-' END AS tc
-          FROM best b JOIN points p USING (queryid, dbid, pathid, spanid) JOIN idx q ON q.run_index = p.queryid JOIN idx t ON t.run_index = p.dbid
-          WHERE b.score >= 0.3 WINDOW w AS (PARTITION BY p.queryid, p.dbid, p.pathid, p.spanid ORDER BY p.k)),
-        lines AS (
-          SELECT queryid, dbid, round(max(score), 3) AS score, string_agg(qc, '' ORDER BY k) AS qseq, string_agg(tc, '' ORDER BY k) AS tseq,
-            string_agg(CASE WHEN qc = '-' OR tc = '-' THEN ' ' WHEN qc = tc THEN '|' WHEN contains('""" + PAIRS + """', qc || tc) THEN '+' ELSE '.' END, '' ORDER BY k) AS con,
-            round(avg(CASE WHEN qc = tc THEN 1.0 ELSE 0.0 END), 2) AS ident,
-            round(avg(CASE WHEN translate(qc, '""" + LETTERS + "', '" + CODES + "') = translate(tc, '" + LETTERS + "', '" + CODES + """') THEN 1.0 ELSE 0.0 END), 2) AS similarity,
-            min(x) AS qstart, max(x) AS qend, min(y) AS tstart, max(y) AS tend, max(length(qs)) AS qlen, max(length(ts)) AS tlen
-          FROM drawn GROUP BY queryid, dbid, pathid, spanid)""", """
-        SELECT 'S' || lpad(CAST(queryid AS VARCHAR), 6, '0') AS qid, score, ident, similarity, 'S' || lpad(CAST(dbid AS VARCHAR), 6, '0') AS sid, qstart, qend, qseq, con, tseq,
-          tstart, tend, tlen, qlen, qend - qstart + 1 AS match_len, 'from vector ' || CAST(dbid * 25 AS VARCHAR) AS sdesc FROM lines""", True),
+    "search_output": _output(HITS, "best", "round"),
+    "full_search": _output(HITS + POOL_STEPS + ",\n" + KEPT + ",\nscreened AS (SELECT best.* FROM best JOIN kept USING (queryid, dbid))", "screened", "round_even"),
+    "truth_overlap": _with(HITS + """,
+        top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY queryid, dbid ORDER BY round(score, 9) DESC, len DESC, pathid DESC, spanid DESC) AS r FROM flat) t WHERE r = 1),
+        got AS (SELECT p.queryid, p.dbid, p.y, p.x, p.k - p.first AS k FROM top t JOIN points p USING (queryid, dbid, pathid, spanid)),
+        truth AS (SELECT queryid, dbid, x, x + 25 * (queryid - dbid) AS y, x AS k FROM (SELECT queryid, dbid, unnest(range(0, 50)) AS x FROM lens WHERE abs(queryid - dbid) <= 1) t
+          WHERE x + 25 * (queryid - dbid) BETWEEN 0 AND 49),
+        sizes AS (SELECT * FROM (SELECT queryid, dbid, count(*) AS nt FROM truth GROUP BY 1, 2) a JOIN (SELECT queryid, dbid, count(*) AS nf FROM got GROUP BY 1, 2) b USING (queryid, dbid)),
+        q AS (SELECT queryid, dbid, max(m) AS m FROM (SELECT g.queryid, g.dbid, count(*) AS m FROM got g JOIN truth t ON g.queryid = t.queryid AND g.dbid = t.dbid AND g.x = t.x GROUP BY g.queryid, g.dbid, g.k - t.k) a GROUP BY 1, 2),
+        t2 AS (SELECT queryid, dbid, max(m) AS m FROM (SELECT g.queryid, g.dbid, count(*) AS m FROM got g JOIN truth t ON g.queryid = t.queryid AND g.dbid = t.dbid AND g.y = t.y GROUP BY g.queryid, g.dbid, g.k - t.k) a GROUP BY 1, 2)""", """
+        SELECT queryid, dbid, round(coalesce(q.m, 0) / nt, 6) AS q_truth, round(coalesce(q.m, 0) / nf, 6) AS q_found, round(coalesce(t2.m, 0) / nt, 6) AS t_truth, round(coalesce(t2.m, 0) / nf, 6) AS t_found
+        FROM sizes LEFT JOIN q USING (queryid, dbid) LEFT JOIN t2 USING (queryid, dbid)""", True),
+    "scan_json": _with(POOLED + ",\n" + KEPT, """
+        SELECT queryid, '{' || string_agg('"' || dbid || '":{"file":"db/' || dbid || '.emb","score":' || round(score, 3) || '}', ',' ORDER BY dbid) || '}' AS result FROM kept GROUP BY queryid"""),
     "pooled_vectors": _with(POOLED, "SELECT run_index, pos, round(v[1], 6) AS v0, round(v[2], 6) AS v1, round(v[3], 6) AS v2, round(v[4], 6) AS v3 FROM tpool"),
     "fold_norms": _with(POOLED, "SELECT run_index, fold, round(norm, 6) AS fnorm FROM tn"),
     "chunk_scores": _with(POOLED, "SELECT queryid, dbid, round(score, 6) AS score FROM chunks"),
     "chunk_quantile": _with(POOLED, "SELECT queryid, dbid, round(score, 6) AS score FROM (SELECT *, quantile_cont(score, 0.7) OVER (PARTITION BY queryid) AS thr FROM chunks) t WHERE score >= thr"),
     "symmetric_pairs": _with(POOLED, "SELECT queryid, dbid, round(score, 6) AS score FROM chunks WHERE dbid >= queryid"),
+    "residue_sums": _with(BASE + """,
+        sums AS (SELECT run_index, list_transform(range(0, 64), lambda i: list_sum(list_transform(vs, lambda v: v[i + 1]))) AS v, f FROM (SELECT run_index, list(vec) AS vs, arg_min(vec, pos) AS f FROM tres GROUP BY 1) t)""", """
+        SELECT run_index, round(v[1], 6) AS s0, round(v[64], 6) AS s63, round(list_cosine_similarity(v, f), 6) AS c FROM sums"""),
     "quantile_thresholds": """
         SELECT qid AS queryid, round(quantile_cont(score, 0.9), 6) AS threshold FROM hits WHERE qid IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY qid""",
     "whole_sequence_screen": _with(BASE + """,
@@ -168,6 +192,24 @@ SQL: dict[str, str] = {
     "top_hits": f"""
         SELECT row_number() OVER (ORDER BY score DESC, qid NULLS FIRST, sid NULLS FIRST, qstart, tstart, qseq, tseq) AS index, qid, sid, score FROM (
           SELECT * FROM {CURRENT_SCORED} t ORDER BY score DESC, qid NULLS FIRST, sid NULLS FIRST, qstart, tstart, qseq, tseq LIMIT 100) b""",
+    "merged_chains": """
+        WITH RECURSIVE ranked AS MATERIALIZED (
+          SELECT *, row_number() OVER (PARTITION BY sid ORDER BY qstart, tstart, qend, tend, qid NULLS FIRST, score, qseq, tseq) AS pos FROM hits
+          WHERE score >= 0.3 AND NOT isnan(score) AND sid IS NOT NULL AND qstart IS NOT NULL AND tstart IS NOT NULL),
+        walk AS (
+          SELECT sid, pos, qstart AS aq, tstart AS ta, 1 AS chain FROM ranked WHERE pos = 1
+          UNION ALL
+          SELECT sid, pos, CASE WHEN goes THEN aq ELSE q END, CASE WHEN goes THEN ta ELSE t END, CASE WHEN goes THEN chain ELSE chain + 1 END FROM (
+            SELECT r.sid, r.pos, w.aq, w.ta, w.chain, r.qstart AS q, r.tstart AS t,
+              r.qstart >= w.aq AND r.tstart >= w.ta AND (greatest(r.qstart - w.aq, r.tstart - w.ta) = 0
+                OR least(r.qstart - w.aq, r.tstart - w.ta) / greatest(r.qstart - w.aq, r.tstart - w.ta) >= 0.7) AS goes
+            FROM walk w JOIN ranked r ON r.sid = w.sid AND r.pos = w.pos + 1) s),
+        placed AS (SELECT r.*, w.chain FROM ranked r JOIN walk w USING (sid, pos))
+        SELECT sid, arg_min_null(qid, pos) AS qid, round(avg(score), 6) AS score, round(avg(ident), 6) AS ident, round(avg(similarity), 6) AS similarity, arg_min(qstart, pos) AS qstart, arg_max(qend, pos) AS qend,
+          string_agg(qseq, '~~~~~' ORDER BY pos) AS qseq, string_agg(con, '     ' ORDER BY pos) AS con, string_agg(tseq, '~~~~~' ORDER BY pos) AS tseq, arg_min(tstart, pos) AS tstart,
+          arg_max(tend, pos) AS tend, arg_min_null(tlen, pos) AS tlen, arg_min_null(qlen, pos) AS qlen,
+          CASE WHEN count(*) > 1 THEN arg_max(qend, pos) - arg_min(qstart, pos) + 1 ELSE max(match_len) END AS match_len, arg_min_null(sdesc, pos) AS sdesc, count(*) AS merged
+        FROM placed GROUP BY sid, chain""",
     "class_fields": f"""
         WITH {INDEX},
         places AS (SELECT run_index, description AS d, instr(description, ', X: ') AS x, instr(description, ', H: ') AS h, instr(description, ', T: ') AS t,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions.residues import alignment_rates
+from strandlake.functions.vectors import cosine, dimension_sums
 from strandlake.operators import align, batching, hits, output, score, screen, tools
 from strandlake.operators.compaction import compact, read_store
 from strandlake.operators.embed import HashEmbedder, embed
@@ -156,7 +157,7 @@ def unique_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def truth_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best hits against the residues that both sequences really share."""
     fx = fixture(spark, sf_dir)
-    best = _hits(spark, sf_dir).groupBy("queryid", "dbid").agg(F.max_by("indices", F.struct("score", "len", "pathid", "spanid")).alias("_i"))
+    best = _hits(spark, sf_dir).groupBy("queryid", "dbid").agg(F.max_by("indices", F.struct(F.round("score", 9), "len", "pathid", "spanid")).alias("_i"))
     found = best.select("queryid", "dbid", F.posexplode("_i").alias("k", "_c")).select("queryid", "dbid", "k", F.col("_c.y").alias("y"), F.col("_c.x").alias("x"))
     near = fx.pairs.where(F.abs(F.col("queryid") - F.col("dbid")) <= 1).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(49))))
     truth = near.withColumn("y", F.col("x") + 25 * (F.col("queryid") - F.col("dbid"))).where("y between 0 and 49").withColumn("k", F.col("x"))
@@ -204,7 +205,16 @@ def quantile_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def whole_sequence_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = fixture(spark, sf_dir)
-    return screen.whole_sequence_screen(fx.queries, fx.targets, 64, 0.7).withColumn("score", F.round("score", 6))
+    return screen.whole_sequence_screen(fx.queries, fx.targets, 0.7).withColumn("score", F.round("score", 6))
+
+
+@query
+def residue_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each target's residues added up, and the cosine of that with its first residue."""
+    dim = 64
+    summed = fixture(spark, sf_dir).targets.groupBy("run_index").agg(*dimension_sums(F.col("vec"), dim), F.min_by("vec", "pos").alias("_first"))
+    total = F.array(*[f"_s{i}" for i in range(dim)])
+    return summed.select("run_index", F.round("_s0", 6).alias("s0"), F.round("_s63", 6).alias("s63"), F.round(cosine(total, F.col("_first")), 6).alias("c"))
 
 
 @query
@@ -269,7 +279,7 @@ def hit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def merged_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.merge_chains(table(spark, sf_dir, "hits").where("score is not null and not isnan(score)"), 0.3)
+    return tools.merge_chains(table(spark, sf_dir, "hits").where("score is not null and not isnan(score)"), 0.3, decimals=6)
 
 
 @query

@@ -37,7 +37,7 @@ def by_hand(text):
 def pieces(texts):
     rows, pos, found = split_batch(pa.array(texts, pa.string()))
     got = {}
-    for r, p, s in zip(rows.tolist(), pos.tolist(), found.to_pylist()):
+    for r, p, s in zip(rows.to_pylist(), pos.to_pylist(), found.to_pylist()):
         got.setdefault(r, []).append((p, s))
     return [got.get(k, []) for k in range(len(texts))]
 
@@ -65,7 +65,7 @@ def test_slices_and_long_text():
     assert len(got[0]) == 200_000 and got[0][-1] == (200_000, "x" * 50) and got[1] == [(1, "a"), (2, "b")]
     column = pa.array(["skip", "a,b", None, "c"]).slice(1)
     rows, pos, found = split_batch(column)
-    assert list(zip(rows.tolist(), pos.tolist(), found.to_pylist())) == [(0, 1, "a"), (0, 2, "b"), (2, 1, "c")]
+    assert list(zip(rows.to_pylist(), pos.to_pylist(), found.to_pylist())) == [(0, 1, "a"), (0, 2, "b"), (2, 1, "c")]
 
 
 def test_frame_with_odd_rows(spark):
