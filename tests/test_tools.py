@@ -4,7 +4,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from strandlake.operators import tools
-from strandlake.operators.batching import groups_of_four, over_multiples, plan_batches, rank_share, split_by_length
+from strandlake.operators.batching import before_multiples, groups_of_four, over_multiples, plan_batches, rank_share, resume_points, split_by_length
+from strandlake.operators.ranking import positions
 
 COLUMNS = ["qid", "score", "ident", "similarity", "sid", "qstart", "qend", "qseq", "con", "tseq", "tstart", "tend", "tlen", "qlen", "match_len", "sdesc"]
 
@@ -110,3 +111,33 @@ def test_report_and_top(spark):
     assert line.header.startswith("  1 ") and ">d" in line.body and "Identities=50%" in line.body
     everything = tools.top_hits(df).orderBy("index").collect()
     assert [r["index"] for r in everything] == list(range(1, 31)) and [r.score for r in everything] == sorted((r.score for r in everything), reverse=True)
+
+
+def test_positions_of_a_hot_group(spark):
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.5 else rng.choice(["a", "b", None]), rng.randint(0, 99), k) for k in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = positions(spark.createDataFrame(rows, "g string, o int, k long").repartition(5), ["g"], ["o", "k"], "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = {}
+    for g in ("hot", "a", "b", None):
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])):
+            expected[r[2]] = n
+    assert {r.k: r.n for r in got} == expected
+
+
+def test_batches_before_multiples():
+    assert before_multiples([3, 3, 3, 3], 5) == [(0, 2), (2, 4)]
+    rng = random.Random(0)
+    for _ in range(50):
+        lengths = [rng.randint(50, 999) for _ in range(rng.randint(2, 60))]
+        spans = before_multiples(lengths)
+        assert spans[0][0] == 0 and spans[-1][1] == len(lengths) and all(b == c for (_, b), (c, _) in zip(spans, spans[1:])) and all(b > a for a, b in spans)
+
+
+def test_resume_points(spark):
+    rows = [(1, None, 5, 1), (1, None, 9, 2), (2, 0, 3, 1), (2, 1, None, 7), (None, 0, 1, 1)]
+    df = spark.createDataFrame(rows, "job_id long, rank_id int, last_batch int, saved_at int")
+    assert {tuple(r) for r in resume_points(df).collect()} == {(1, None, 9), (2, 0, 3), (2, 1, None)}
