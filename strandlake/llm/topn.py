@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.session import broadcast_if_small, scratch_path
+from strandlake.session import broadcast_if_small, cut, scratch_path
 
 ROW_GROUP_BYTES = 1 << 20
 STATS = "path string, rg int, rows long, lo string, hi string, top double, low double"
@@ -100,7 +100,7 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, key: str, n: int = 10
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", row_group_bytes).option("parquet.page.size", max(64 << 10, row_group_bytes // 8)).parquet(layout)
 
     files = spark.createDataFrame([(f,) for f in spark.read.schema("g string").parquet(layout).inputFiles()], "path string")
-    stats = files.repartition("path").mapInPandas(_statistics, STATS)
+    stats = cut(files.repartition("path").mapInPandas(_statistics, STATS), "topn-stats")
     pure = F.col("lo").isNotNull() & (F.col("lo") == F.col("hi"))
     # what the statistics alone prove: n rows of the group score at least this much
     reach = Window.partitionBy("lo").orderBy(F.col("low").desc(), "path", "rg").rowsBetween(Window.unboundedPreceding, 0)
