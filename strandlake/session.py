@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +33,26 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **extra
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they need no path of their own to it."""
+    context, home = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_strandlake_sent", False) or not os.path.isdir(home):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="strandlake-"), "strandlake.zip")  # read by the driver only
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(home)))
+    context.addPyFile(archive)
+    context._strandlake_sent = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``, or one set here where it is unset (local runs)."""
     conf = spark.sparkContext.getConf()
@@ -76,4 +95,5 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
