@@ -39,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     f = sub.add_parser("split", help="split a FASTA file by length")
     f.add_argument("input"), f.add_argument("prefix"), f.add_argument("--chunk", type=int, default=1000), f.add_argument("--max-length", type=int, default=3500)
     n = sub.add_parser("lanes", help="lanes of a drawing of hits")
-    n.add_argument("csv"), n.add_argument("output"), n.add_argument("--score", type=float, default=0.0), n.add_argument("--maxseqs", type=int, default=100), n.add_argument("--by", choices=["score", "qend"], default="score")
+    n.add_argument("csv"), n.add_argument("output"), n.add_argument("--score", type=float, default=0.0), n.add_argument("--maxseqs", type=int, default=0), n.add_argument("--by", choices=["score", "qend"], default="score")
     return top
 
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.session import broadcast_if_small, cut
+from strandlake.session import broadcast_if_small, cut, scratch_path
+
+#: ``(columns of a stretch, state before it, whether its group ends with it) -> (output columns, state after it)``
+Step = Callable[[dict[str, np.ndarray], bytes | None, bool], tuple[dict[str, np.ndarray], bytes]]
 
 
 def spread(df: DataFrame, *by: str | Column) -> DataFrame:
@@ -28,3 +35,61 @@ def positions(df: DataFrame, keys: list[str], order: list[str], name: str) -> Da
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in (*keys, "_p")]
     joined = placed.alias("l").join(broadcast_if_small(base).alias("r"), same)
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._b") + F.col("l._m") - F.col("r._m0")).alias(name))
+
+
+def walk(df: DataFrame, key: str, order: list[str | Column], columns: list[str], step: Step, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with their place ``_m``, and what ``step`` gives (``schema``) as it goes through each group in order.
+
+    ``key`` is a string that is never null; ``step`` sees ``_m``, ``_k`` (the key) and ``columns``. The rows are sorted over
+    range partitions, so a group of any size is shared among tasks. A group that goes on in the next partition hands its
+    state over: first all stretches that begin a group are walked, then those that continue one, one partition further in each
+    round. There are as many rounds as the largest group has partitions; a task holds one partition and one state.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "walk")
+    placed = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("_m", F.monotonically_increasing_id())
+    placed.write.parquet(f"{path}/rows")
+
+    def rows(names: list[str]) -> DataFrame:
+        return spark.read.schema(placed.schema).parquet(*(f"{path}/rows/{n}" for n in names)).withColumn("_p", F.shiftright("_m", 33))
+
+    # one row per partition
+    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    edges = rows([""]).withColumn("_f", file).groupBy("_p").agg(F.min_by(key, "_m").alias("head"), F.max_by(key, "_m").alias("tail"), F.collect_set("_f").alias("files")).orderBy("_p").collect()
+    depth, follows = {e["_p"]: 0 for e in edges}, {}
+    for a, b in zip(edges, edges[1:]):
+        if a["tail"] == b["head"]:
+            follows[a["_p"]] = b["_p"]
+            depth[b["_p"]] = 1 + (depth[a["_p"]] if a["head"] == a["tail"] else 0)
+
+    def run(part: pd.DataFrame, state: bytes | None) -> pd.DataFrame:
+        part, p = part.sort_values("_m"), int(part["_p"].iloc[0])
+        values = {c: part[c].to_numpy() for c in ("_m", "_k", *columns)}
+        k = values["_k"]
+        bounds = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        spans = list(zip(bounds, bounds[1:]))
+        spans = spans[:1] if state is not None else spans[depth[p] > 0 :]
+        got, passed = [], None
+        for a, b in spans:
+            ends = b < len(k) or p not in follows
+            out, after = step({c: v[a:b] for c, v in values.items()}, state, ends)
+            got.append(out)
+            passed = None if ends else after
+        names = [f.split()[0] for f in schema.split(", ")]
+        frame = pd.DataFrame({n: np.concatenate([g[n] for g in got]) if got else [] for n in names}).assign(_to=-1, _state=b"")
+        if passed is not None:
+            blank = {n: "" if f.endswith("string") else 0 for n, f in zip(names, schema.split(", "))}
+            frame = pd.concat([frame, pd.DataFrame([blank | {"_to": follows[p], "_state": passed}])], ignore_index=True)
+        return frame
+
+    slim, full = ["_p", "_m", F.col(key).alias("_k"), *columns], f"{schema}, _to long, _state binary"
+    rounds = max(depth.values(), default=0) + 1
+    for r in range(rounds):
+        if r == 0:
+            done = rows([""]).select(*slim).groupBy("_p").applyInPandas(lambda part: run(part, None), full)
+        else:
+            here = rows([n for e in edges if depth[e["_p"]] == r for n in e["files"]]).select(*slim)
+            state = spark.read.schema(full).parquet(f"{path}/round-{r - 1}").where("_to >= 0").select(F.col("_to").alias("_p"), "_state")
+            done = here.groupBy("_p").cogroup(state.groupBy("_p")).applyInPandas(lambda part, before: run(part, before["_state"].iloc[0]) if len(part) else pd.DataFrame(), full)
+        done.write.parquet(f"{path}/round-{r}")
+    out = spark.read.schema(full).parquet(*(f"{path}/round-{r}" for r in range(rounds))).where("_to < 0").drop("_to", "_state")
+    return rows([""]).drop("_p"), out

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.residues import SPACER
-from strandlake.operators.ranking import positions, spread
+from strandlake.operators.ranking import positions, spread, walk
 from strandlake.session import broadcast_if_small, cut
 
 LEAST_RATIO = 0.7
@@ -161,34 +161,87 @@ def pack_lanes(hits: DataFrame, by: str = "score", order: str = "hit_id") -> Dat
     """``(qid, order, lane, shade)``: drawing lanes from 1, and the score scaled to 0..1 within the query.
 
     Hits are taken by falling score or rising ``qend`` (ties by ``order``): the first unplaced one that begins at or after
-    the last end goes next to it; if there is none, the next lane begins. Give it the rows of :func:`plot_rows` with a
-    limit: a query's drawing is one group. A query of one score has shade 0.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the last query of a batch may go on in the next one
-        for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            q = held["qid"].to_numpy()
-            edges = np.flatnonzero(q[1:] != q[:-1]) + 1
-            if len(edges):
-                yield _lanes(held.iloc[: edges[-1]], order)
-                held = held.iloc[edges[-1] :].reset_index(drop=True)
-        if held is not None and len(held):
-            yield _lanes(held, order)
+    the last end goes next to it; if there is none, the next lane begins. A query of one score has shade 0.
 
-    rows = hits.where("qid is not null and qstart is not null and qend is not null").select("qid", order, "score", "qstart", "qend")
-    sorted_ = spread(rows, "qid").sortWithinPartitions("qid", F.col(by).desc() if by == "score" else F.col(by), order)
-    return sorted_.mapInPandas(run, f"qid string, {order} {dict(hits.dtypes)[order]}, lane int, shade double")
+    While no hit ends before it begins, that is the same as putting each hit in turn into the first lane that has room: only
+    the lanes' ends are carried on, and a query of any size is walked over range partitions (:func:`walk`). With a hit that
+    ends before it begins a lane can move back; such a query is walked lane by lane as one group.
+    """
+    rows = hits.where("qid is not null and qstart is not null and qend is not null").select("qid", order, F.col("score").cast("double").alias("score"), "qstart", "qend")
+    rows = cut(rows, "lanes")
+    scores = F.coalesce("score", F.lit(float("nan")))
+    queries = cut(rows.groupBy("qid").agg(F.min(scores).alias("_low"), F.max(scores).alias("_high"), F.max(F.col("qend") < F.col("qstart")).alias("_back"), F.min("qstart").alias("_first")), "lane-queries")
+    if queries.where("_first < 0").head(1):
+        raise ValueError("a hit begins before position 0")
+    sort = [F.col(by).desc() if by == "score" else F.col(by), F.col(order)]
+    back = queries.where("_back").select("qid")
+    turned = bool(back.head(1))
+    forward = rows.join(broadcast_if_small(back), "qid", "left_anti") if turned else rows
+    placed, lanes = walk(forward, "qid", sort, ["qstart", "qend"], _first_fit, "_m long, lane int")
+    out = placed.join(lanes, "_m").select("qid", order, "lane", "score")
+    if turned:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None  # the last query of a batch may go on in the next one
+            for batch in batches:
+                held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+                q = held["qid"].to_numpy()
+                edges = np.flatnonzero(q[1:] != q[:-1]) + 1
+                if len(edges):
+                    yield _lanes(held.iloc[: edges[-1]], order)
+                    held = held.iloc[edges[-1] :].reset_index(drop=True)
+            if held is not None and len(held):
+                yield _lanes(held, order)
+
+        whole = spread(rows.join(broadcast_if_small(back), "qid", "left_semi"), "qid").sortWithinPartitions("qid", *sort)
+        out = out.unionByName(whole.mapInPandas(run, f"qid string, {order} {dict(hits.dtypes)[order]}, lane int, score double"))
+    shade = F.when((F.col("_high") > F.col("_low")) & ~F.isnan("_high"), (F.col("score") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    return out.join(broadcast_if_small(queries), "qid").select("qid", order, "lane", shade.alias("shade"))
+
+
+def _first_fit(part: dict[str, np.ndarray], state: bytes | None, ends: bool) -> tuple[dict[str, np.ndarray], bytes]:
+    """The first lane with room for each hit; the state is the end of each lane. A tree of the least ends finds the lane."""
+    lane = np.zeros(len(part["_m"]), np.int32)
+    held = np.frombuffer(state or b"", np.int64).tolist()
+    n, room = len(held), 1
+    while room < max(8, n):
+        room *= 2
+
+    def tree(leaves: list[int]) -> list[float]:
+        t = [np.inf] * room + leaves + [np.inf] * (room - len(leaves))
+        for i in range(room - 1, 0, -1):
+            t[i] = min(t[2 * i], t[2 * i + 1])
+        return t
+
+    least = tree(held)
+    for k, (s, e) in enumerate(zip(part["qstart"].tolist(), part["qend"].tolist())):
+        if least[1] <= s:
+            i = 1
+            while i < room:
+                i *= 2
+                if least[i] > s:
+                    i += 1
+        else:
+            if n == room:
+                leaves = least[room:]
+                room *= 2
+                least = tree(leaves)
+            i, n = room + n, n + 1
+        lane[k], least[i] = i - room + 1, e
+        while i > 1:
+            i //= 2
+            low = min(least[2 * i], least[2 * i + 1])
+            if least[i] == low:
+                break
+            least[i] = low
+    return {"_m": part["_m"], "lane": lane}, b"" if ends else np.array(least[room : room + n], np.int64).tobytes()
 
 
 def _lanes(part: pd.DataFrame, order: str) -> pd.DataFrame:
     """Lanes of whole queries that follow one another, each in drawing order."""
-    q, start, end, score = (part[c].to_numpy() for c in ("qid", "qstart", "qend", "score"))
-    if (start < 0).any():
-        raise ValueError("a hit begins before position 0")
+    q, start, end = (part[c].to_numpy() for c in ("qid", "qstart", "qend"))
     edges = [0, *(np.flatnonzero(q[1:] != q[:-1]) + 1).tolist(), len(q)]
-    lane, shade = np.zeros(len(q), np.int32), np.zeros(len(q))
+    lane = np.zeros(len(q), np.int32)
     for a, b in zip(edges, edges[1:]):
         s, e, left, number = start[a:b].tolist(), end[a:b].tolist(), list(range(b - a)), 0
         while left:
@@ -197,6 +250,4 @@ def _lanes(part: pd.DataFrame, order: str) -> pd.DataFrame:
             while (k := next((k for k in left if s[k] >= last), None)) is not None:
                 lane[a + k], last = number, e[k]
                 left.remove(k)
-        low, high = score[a:b].min(), score[a:b].max()
-        shade[a:b] = (score[a:b] - low) / (high - low) if high > low else 0.0
-    return pd.DataFrame({"qid": q, order: part[order].to_numpy(), "lane": lane, "shade": shade})
+    return pd.DataFrame({"qid": q, order: part[order].to_numpy(), "lane": lane, "score": part["score"].to_numpy()})

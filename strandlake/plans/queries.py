@@ -293,19 +293,25 @@ def colour_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.colour_numbers(tools.class_fields(_index(spark, sf_dir), "description")).withColumn("colour", F.col("colour").cast("long"))
 
 
-def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _drawn(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     rows = table(spark, sf_dir, "hits").where("qid is not null and not isnan(score)").groupBy("hit_id").agg(F.max(F.struct("loaded_at", "score", "qid", "qstart", "qend")).alias("r"))
-    return tools.plot_rows(rows.select("hit_id", "r.score", "r.qid", "r.qstart", "r.qend"), 0.4, 25)
+    return tools.plot_rows(rows.select("hit_id", "r.score", "r.qid", "r.qstart", "r.qend"), 0.4, most)
 
 
 @query
 def plot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drawn(spark, sf_dir).select("hit_id", "qid", "len")
+    """The first 25 of each query, as its SQL has it."""
+    return _drawn(spark, sf_dir, 25).select("hit_id", "qid", "len")
+
+
+@query
+def all_plot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drawn(spark, sf_dir, 0).select("hit_id", "qid", "len")
 
 
 @query
 def plot_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.pack_lanes(_drawn(spark, sf_dir)).withColumn("shade", F.round("shade", 6))
+    return tools.pack_lanes(_drawn(spark, sf_dir, 0)).withColumn("shade", F.round("shade", 6))
 
 
 # --- sequences and batches -----------------------------------------------------------------------------------------

@@ -74,6 +74,51 @@ def test_lanes(spark):
             assert {k: got[k] for k in expected} == expected
 
 
+def lanes_by_hand(rows):
+    expected = {}
+    for q in {r[0] for r in rows}:
+        left = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        lane, last = 1, 0
+        while left:
+            fit = next((r for r in left if r[3] >= last), None)
+            if fit is None:
+                lane, last = lane + 1, 0
+                continue
+            expected[fit[1]], last = lane, fit[4]
+            left.remove(fit)
+    return expected
+
+
+def test_lanes_of_a_query_over_many_partitions(spark, monkeypatch):
+    whole = []
+    monkeypatch.setattr(tools, "_lanes", lambda *a: whole.append(a))  # no query here may be one group
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.8 else f"q{k % 9}", k, round(rng.random(), 2), (q := rng.randint(0, 80)), q + rng.randint(0, 30)) for k in range(900)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "qid string, hit_id long, score double, qstart int, qend int").repartition(7)
+        got = {r.hit_id: (r.lane, r.shade) for r in tools.pack_lanes(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {k: v[0] for k, v in got.items()} == lanes_by_hand(rows)
+    low, high = min(r[2] for r in rows if r[0] == "hot"), max(r[2] for r in rows if r[0] == "hot")
+    assert all(abs(got[r[1]][1] - (r[2] - low) / (high - low)) < 1e-12 for r in rows if r[0] == "hot")
+
+
+def test_lanes_that_move_back(spark):
+    rng = random.Random(6)
+    rows = [(f"q{k % 3}", k, round(rng.random(), 2), (q := rng.randint(20, 80)), q + rng.randint(-20 if k % 3 else 0, 30)) for k in range(120)]
+    got = {r.hit_id: r.lane for r in tools.pack_lanes(spark.createDataFrame(rows, "qid string, hit_id long, score double, qstart int, qend int")).collect()}
+    assert got == lanes_by_hand(rows)
+
+
+def test_every_hit_is_drawn(spark, data):
+    from strandlake.plans.queries import QUERIES
+
+    rows = QUERIES["all_plot_rows"](spark, data)
+    assert rows.groupBy("qid").count().where("count > 25").count() and QUERIES["plot_lanes"](spark, data).count() == rows.count()
+
+
 def test_planners():
     rng = random.Random(0)
     assert groups_of_four([10] * 4) == [(0, 2), (2, 4)]
