@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.residues import clean
-from strandlake.operators.ranking import positions
+from strandlake.operators.ranking import positions, walk
+from strandlake.session import broadcast_if_small, cut
 
 BLOCK = 50_000
 RESIDUES_PER_BATCH = 6_000
 SLICE_RESIDUES = 7_680
+MULTIPLE_RESIDUES = 4_000
 
 
 def prepare_sequences(index: DataFrame, truncate: int = 1000, sequence: str = "sequence") -> DataFrame:
@@ -50,19 +52,19 @@ def not_done(index: DataFrame, done: DataFrame, key: str = "run_index") -> DataF
     return index.join(done.select(key).distinct(), key, "left_anti")
 
 
-def groups_of_four(lengths: np.ndarray, budget: int = RESIDUES_PER_BATCH) -> list[tuple[int, int]]:
+def groups_of_four(lengths: np.ndarray, budget: int = RESIDUES_PER_BATCH, final: bool = True) -> list[tuple[int, int]]:
     """Contiguous batches that grow by four sequences while they keep the budget.
 
     A batch is closed when four more would break the budget or nothing is left: it then gives back its last four, or, if
     it has just four, two of them and a third if still too long. The tail that is left at the end of the list is split
-    into its multiple of four and the rest.
+    into its multiple of four and the rest. If more sequences follow (not ``final``), only the batches that are settled are given.
     """
     n, begin, out = len(lengths), 0, []
     upto = np.append(0, np.cumsum(lengths))
     stop = 0
-    while begin < n:
+    while begin < n and (final or stop + 4 <= n):
         stop = min(stop + 4, n)
-        if upto[stop] - upto[begin] <= budget and stop < n:
+        if upto[stop] - upto[begin] <= budget and (stop < n or not final):
             continue
         size = stop - begin
         if size == 4:
@@ -92,15 +94,32 @@ def over_multiples(lengths: np.ndarray, budget: int = SLICE_RESIDUES) -> list[tu
     return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
 
-def before_multiples(lengths: np.ndarray, budget: int = 4_000) -> list[tuple[int, int]]:
+def before_multiples(lengths: np.ndarray, budget: int = MULTIPLE_RESIDUES) -> list[tuple[int, int]]:
     """Contiguous batches that end one before each sequence whose running total passes the next multiple of the budget; no empty batch."""
-    total, limit, cuts = np.cumsum(lengths), budget, []
-    for i, t in enumerate(total.tolist()):
+    return _before_multiples(lengths, budget, None, True)[0]
+
+
+def _before_multiples(lengths: np.ndarray, budget: int, carry: tuple[int, int, int, int] | None, final: bool) -> tuple[list[tuple[int, int]], tuple[int, int, int, int]]:
+    """The batches that are settled, and what to go on with: the total and the position before the open batch, the limit, and the open batch's size."""
+    total, at, limit, seen = carry or (0, 0, budget, 0)
+    cuts = []
+    for i, t in enumerate((total + np.cumsum(lengths))[seen:].tolist(), seen):
         if t > limit:
             cuts.append(i - 1)
             limit += budget
-    edges = [0, *(c for c in cuts if c > 0), len(lengths)]
-    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+    edges = [0, *(c for c in cuts if at + c > 0), len(lengths)]
+    spans = [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+    begin = 0
+    if not final and spans:
+        begin, _ = spans.pop()
+    return spans, (total + int(np.sum(lengths[:begin])), at + begin, limit, len(lengths) - begin)
+
+
+#: Planners that go forward from row to row: the lengths since the last settled batch, what they carry, and whether nothing follows.
+_CARRIED = {
+    groups_of_four: lambda lengths, carry, final: (groups_of_four(lengths, final=final), None),
+    before_multiples: lambda lengths, carry, final: _before_multiples(lengths, MULTIPLE_RESIDUES, carry, final),
+}
 
 
 def resume_points(checkpoints: DataFrame) -> DataFrame:
@@ -110,23 +129,53 @@ def resume_points(checkpoints: DataFrame) -> DataFrame:
 
 
 def plan_batches(df: DataFrame, planner: Callable[[np.ndarray], list[tuple[int, int]]], group: str = "job_id", order: str = "run_index", length: str = "seqlen", block: int = BLOCK) -> DataFrame:
-    """``(group, block, batch_no, first, last, sequences, residues)``: ``planner``'s batches of each group in the order of ``order``.
+    """``(group, block, batch_no, first, last, sequences, residues)``: the batches of one of this module's planners for each whole group in the order of ``order``.
 
-    The planners go forward from row to row, so a group is planned in blocks of ``block`` positions: a group of any size
-    is spread over many tasks, and one of up to ``block`` rows is planned just as in a single pass.
+    A group of any size is shared among tasks. Slices are cut by running totals; the planners that go forward from row to row hand
+    their state and their open batch from one range partition to the next (:func:`walk`). ``block`` only numbers the batches by the
+    ``block`` positions in which they begin; the plan doesn't depend on it.
     """
-
-    def plan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("o")
-        spans = planner(part["n"].to_numpy(np.int64))
-        at, total = part["o"].to_numpy(), np.append(0, np.cumsum(part["n"].to_numpy(np.int64)))
-        rows = [(part["g"].iloc[0], part["b"].iloc[0], k, at[a], at[b - 1], b - a, total[b] - total[a]) for k, (a, b) in enumerate(spans)]
-        return pd.DataFrame(rows, columns=["g", "b", "batch_no", "first", "last", "sequences", "residues"])
-
     numbered = df.select(F.col(group).cast("long").alias("g"), F.col(order).cast("long").alias("o"), F.col(length).cast("long").alias("n"))
-    numbered = positions(numbered, ["g"], ["o"], "k").withColumn("b", F.floor(F.col("k") / block)).drop("k")
-    out = numbered.groupBy("g", "b").applyInPandas(plan, "g long, b long, batch_no int, first long, last long, sequences int, residues long")
-    return out.withColumnsRenamed({"g": group, "b": "block"})
+    if planner is over_multiples:
+        out = _slices(numbered)
+    elif planner in _CARRIED:
+        steps = _CARRIED[planner]
+
+        def step(part: dict[str, np.ndarray], state: bytes | None, ends: bool) -> tuple[dict[str, np.ndarray], bytes]:
+            o, n = (part[c].astype(np.int64, casting="safe") for c in "on")
+            carry, at, no = None, 0, 0
+            if state is not None:
+                carry, at, no, held_o, held_n = pickle.loads(state)
+                o, n = np.append(held_o, o), np.append(held_n, n)
+            spans, carry = steps(n, carry, ends)
+            total = np.append(0, np.cumsum(n))
+            a, b = np.array(spans, np.int64).reshape(-1, 2).T
+            out = {"k": np.repeat(part["_k"][:1], len(a)), "at": at + a, "batch_no": no + np.arange(len(a)), "first": o[a], "last": o[b - 1], "sequences": b - a, "residues": total[b] - total[a]}
+            done = int(b[-1]) if len(b) else 0
+            return out, b"" if ends else pickle.dumps((carry, at + done, no + len(a), o[done:], n[done:]))
+
+        keyed = numbered.withColumn("k", F.coalesce(F.col("g").cast("string"), F.lit("")))
+        _, out = walk(keyed, "k", ["o"], ["o", "n"], step, "k string, at long, batch_no long, first long, last long, sequences long, residues long")
+        out = out.withColumn("g", F.when(F.col("k") != "", F.col("k")).cast("long"))
+    else:
+        raise ValueError("the planner must be over_multiples, groups_of_four or before_multiples")
+    numbers = [F.col("batch_no").cast("int").alias("batch_no"), "first", "last", F.col("sequences").cast("int").alias("sequences"), "residues"]
+    return out.select(F.col("g").alias(group), F.floor(F.col("at") / block).alias("block"), *numbers)
+
+
+def _slices(rows: DataFrame) -> DataFrame:
+    """:func:`over_multiples` of each whole group ``g``: totals of range partitions laid end to end, and those within a partition."""
+    placed = rows.repartitionByRange("g", "o").sortWithinPartitions("g", "o").withColumn("_m", F.monotonically_increasing_id())
+    placed = cut(placed, "slices").withColumn("_p", F.shiftright("_m", 33))
+    parts = placed.groupBy("g", "_p").agg(F.sum("n").alias("_n"), F.count("*").alias("_c"))
+    before = Window.partitionBy("g").orderBy("_p")
+    base = parts.select("g", "_p", (F.sum("_n").over(before) - F.col("_n")).alias("_n0"), (F.sum("_c").over(before) - F.col("_c")).alias("_c0"))
+    within = Window.partitionBy("g", "_p").orderBy("_m")
+    sums = placed.withColumns({"_s": F.sum("n").over(within) - F.col("n"), "_i": F.row_number().over(within) - 1})
+    joined = sums.alias("l").join(broadcast_if_small(base).alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("g", "_p")])
+    at = joined.select("l.g", "o", "n", (F.col("_i") + F.col("_c0")).alias("at"), F.floor((F.col("_s") + F.col("_n0")) / SLICE_RESIDUES).alias("b"))
+    slices = at.groupBy("g", "b").agg(F.min("at").alias("at"), F.min("o").alias("first"), F.max("o").alias("last"), F.count("*").alias("sequences"), F.sum("n").alias("residues"))
+    return positions(slices, ["g"], ["b"], "batch_no")
 
 
 def split_by_length(df: DataFrame, chunk: int, max_length: int, length: str = "seqlen", order: str = "run_index") -> DataFrame:

@@ -38,7 +38,7 @@ def positions(df: DataFrame, keys: list[str], order: list[str], name: str) -> Da
 
 
 def walk(df: DataFrame, key: str, order: list[str | Column], columns: list[str], step: Step, schema: str) -> tuple[DataFrame, DataFrame]:
-    """The rows with their place ``_m``, and what ``step`` gives (``schema``) as it goes through each group in order.
+    """The rows with their place ``_m``, and what ``step`` gives (``schema``: whole numbers and strings) as it goes through each group in order.
 
     ``key`` is a string that is never null; ``step`` sees ``_m``, ``_k`` (the key) and ``columns``. The rows are sorted over
     range partitions, so a group of any size is shared among tasks. A group that goes on in the next partition hands its
@@ -61,6 +61,8 @@ def walk(df: DataFrame, key: str, order: list[str | Column], columns: list[str],
             follows[a["_p"]] = b["_p"]
             depth[b["_p"]] = 1 + (depth[a["_p"]] if a["head"] == a["tail"] else 0)
 
+    fields = [f.split() for f in schema.split(", ")]
+
     def run(part: pd.DataFrame, state: bytes | None) -> pd.DataFrame:
         part, p = part.sort_values("_m"), int(part["_p"].iloc[0])
         values = {c: part[c].to_numpy() for c in ("_m", "_k", *columns)}
@@ -68,18 +70,21 @@ def walk(df: DataFrame, key: str, order: list[str | Column], columns: list[str],
         bounds = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
         spans = list(zip(bounds, bounds[1:]))
         spans = spans[:1] if state is not None else spans[depth[p] > 0 :]
-        got, passed = [], None
+        got, passed = [], []
         for a, b in spans:
             ends = b < len(k) or p not in follows
             out, after = step({c: v[a:b] for c, v in values.items()}, state, ends)
             got.append(out)
-            passed = None if ends else after
-        names = [f.split()[0] for f in schema.split(", ")]
-        frame = pd.DataFrame({n: np.concatenate([g[n] for g in got]) if got else [] for n in names}).assign(_to=-1, _state=b"")
-        if passed is not None:
-            blank = {n: "" if f.endswith("string") else 0 for n, f in zip(names, schema.split(", "))}
-            frame = pd.concat([frame, pd.DataFrame([blank | {"_to": follows[p], "_state": passed}])], ignore_index=True)
-        return frame
+            passed = [] if ends else [(follows[p], after)]
+        frame = {}
+        for n, kind in fields:
+            own = [*(g[n] for g in got), *(np.array(["" if kind == "string" else 0]) for _ in passed)]
+            # strings stay objects: as Arrow chunks they can't be handed back
+            frame[n] = pd.Series(np.concatenate(own) if own else [], dtype=object if kind == "string" else "int64")
+        n = sum(len(g[fields[0][0]]) for g in got)
+        frame["_to"] = pd.Series([-1] * n + [to for to, _ in passed], dtype="int64")
+        frame["_state"] = pd.Series([b""] * n + [after for _, after in passed], dtype=object)
+        return pd.DataFrame(frame)
 
     slim, full = ["_p", "_m", F.col(key).alias("_k"), *columns], f"{schema}, _to long, _state binary"
     rounds = max(depth.values(), default=0) + 1

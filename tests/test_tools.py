@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from strandlake.operators import tools
@@ -138,6 +140,22 @@ def test_planned_blocks_cover_a_group(spark):
     assert sum(r.sequences for r in got) == 1000 and [r["last"] + 1 for r in got[:-1]] == [r["first"] for r in got[1:]]
 
 
+@pytest.mark.parametrize("planner", [over_multiples, groups_of_four, before_multiples])
+def test_a_job_is_planned_whole(spark, planner):
+    rng = random.Random(7)
+    rows = [(rng.choice([7, 7, 7, 7, 8, None]), k, rng.choice([0, 1, 5000]) if k % 50 == 0 else rng.randint(50, 999)) for k in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "job_id long, run_index long, seqlen int").repartition(5)
+        got = plan_batches(df, planner, block=100).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in (7, 8, None):
+        at, n = (np.array(x) for x in zip(*(r[1:] for r in rows if r[0] == g)))
+        expected = [(k, a // 100, at[a], at[b - 1], b - a, n[a:b].sum()) for k, (a, b) in enumerate(planner(n))]
+        assert sorted((r.batch_no, r.block, r["first"], r["last"], r.sequences, r.residues) for r in got if r.job_id == g) == expected
+
+
 def test_rank_share(spark):
     got = rank_share(spark.range(11).withColumnRenamed("id", "batch_id"), 3, 11)
     assert [r.rank for r in got.orderBy("batch_id").collect()] == [0] * 3 + [1] * 3 + [2] * 5
