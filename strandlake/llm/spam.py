@@ -23,8 +23,6 @@ SLICE_BYTES = 1 << 20
 LONG_BYTES = 4 << 20
 #: A document is flagged if more than this share of its text is in link lists, tag lists or menus.
 THRESHOLD = 0.5
-#: The model is fitted on about this many documents (of at most so many characters), drawn by a hash of their key.
-FIT_DOCS, FIT_CHARS = 2_000, 20_000
 FIT_ROUNDS, PRIOR_LINES = 3, 5_000
 STATES = ["prose", "code", "links", "tags", "menu"]
 SPAM = [2, 3, 4]
@@ -204,23 +202,27 @@ class LineModel:
         emission = {f: np.array([PRIOR_EMISSION[s][f] for s in STATES], float) for f in FIELDS}
         return cls(np.log(np.array(PRIOR_FIRST) / sum(PRIOR_FIRST)), np.log(step), {f: np.log(m / m.sum(axis=1, keepdims=True)) for f, m in emission.items()})
 
+    def counts(self, text: np.ndarray, seen: dict[str, np.ndarray]) -> np.ndarray:
+        """How often the labels give each first state, each step and, field by field, each value in each state; laid end to end as in :meth:`refitted`."""
+        k, state = len(STATES), self.label(text, seen)
+        if not len(text):
+            return np.zeros(k + k * k + sum(m.size for m in self.emission.values()), np.int64)
+        begins = np.append(True, text[1:] != text[:-1])
+        first = np.bincount(state[begins], minlength=k)
+        pairs = np.bincount(state[:-1][~begins[1:]] * k + state[1:][~begins[1:]], minlength=k * k)
+        return np.concatenate([first, pairs, *(np.bincount(state.astype(np.int64) * m.shape[1] + seen[f], minlength=m.size) for f, m in self.emission.items())])
+
     @classmethod
-    def fitted(cls, text: np.ndarray, seen: dict[str, np.ndarray], rounds: int = FIT_ROUNDS, prior_lines: int = PRIOR_LINES) -> LineModel:
-        """Viterbi training from the prior: label, count, and label again. In each state the prior weighs as ``prior_lines`` lines."""
-        prior = model = cls.prior()
-        k = len(STATES)
-        for _ in range(rounds):
-            state = model.label(text, seen)
-            begins = np.append(True, text[1:] != text[:-1])
-            first = np.exp(prior.first) * prior_lines + np.bincount(state[begins], minlength=k)
-            pairs = np.bincount(state[:-1][~begins[1:]] * k + state[1:][~begins[1:]], minlength=k * k).reshape(k, k)
-            step = np.exp(prior.step) * prior_lines + pairs
-            emission = {}
-            for f, m in prior.emission.items():
-                seen_here = np.bincount(state * m.shape[1] + seen[f], minlength=m.size).reshape(m.shape)
-                emission[f] = np.exp(m) * prior_lines + seen_here
-            model = cls(np.log(first / first.sum()), np.log(step / step.sum(axis=1, keepdims=True)), {f: np.log(m / m.sum(axis=1, keepdims=True)) for f, m in emission.items()})
-        return model
+    def refitted(cls, counts: np.ndarray, prior_lines: int = PRIOR_LINES) -> LineModel:
+        """The model of these counts and the prior, which weighs as ``prior_lines`` lines in each state."""
+        prior, k = cls.prior(), len(STATES)
+        first = np.exp(prior.first) * prior_lines + counts[:k]
+        step = np.exp(prior.step) * prior_lines + counts[k : k + k * k].reshape(k, k)
+        emission, at = {}, k + k * k
+        for f, m in prior.emission.items():
+            emission[f] = np.exp(m) * prior_lines + counts[at : at + m.size].reshape(m.shape)
+            at += m.size
+        return cls(np.log(first / first.sum()), np.log(step / step.sum(axis=1, keepdims=True)), {f: np.log(m / m.sum(axis=1, keepdims=True)) for f, m in emission.items()})
 
     def scores(self, seen: dict[str, np.ndarray]) -> np.ndarray:
         return sum(self.emission[f][:, seen[f]].T for f in FIELDS)
@@ -257,21 +259,33 @@ def _observe(scanner: LineScanner, column: pa.Array) -> Iterator[tuple[int, int,
         yield a, b, scanner.scan(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def fit_line_model(docs: DataFrame, key: str = "doc_id", text: str = "text", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> LineModel:
-    """Fit the model on a bounded sample: about ``fit_docs`` documents of at most ``fit_chars`` characters, by a hash of ``key``."""
-    total = docs.count()
-    if not total:
-        return LineModel.prior()
-    one_in = max(1, total // fit_docs)
-    drawn = docs.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(one_in)) == 0) & (F.length(text) <= fit_chars))
-    rows = drawn.select(F.xxhash64(key).alias("_h"), F.col(text).alias("_t")).limit(2 * fit_docs).toPandas().sort_values(["_h", "_t"])
-    if not len(rows):
-        return LineModel.prior()
-    texts, seen = [], []
-    for a, _, (line_text, _, values) in _observe(LineScanner(), pa.array(rows["_t"], pa.string())):
-        texts.append(line_text + a)
-        seen.append(values)
-    return LineModel.fitted(np.concatenate(texts), {f: np.concatenate([v[f] for v in seen]) for f in FIELDS})
+def fit_line_model(docs: DataFrame, text: str = "text", rounds: int = FIT_ROUNDS) -> LineModel:
+    """Viterbi training on all documents, from the prior: label, count, and label again.
+
+    Each round reads all texts; a task gives one table of about two hundred counts, and only their sum gets to the driver.
+    """
+    model = LineModel.prior()
+    for _ in range(rounds):
+        sent = docs.sparkSession.sparkContext.broadcast(model)
+
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            scanner, total = LineScanner(), 0
+            for batch in batches:
+                for _, _, (line_text, _, seen) in _observe(scanner, batch.column(0)):
+                    total = total + sent.value.counts(line_text, seen)
+            if not isinstance(total, int):
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total.astype(np.int64))], ["k", "n"])
+
+        texts = docs.where(F.col(text).isNotNull()).select(text)
+        rows = texts.mapInArrow(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+        sent.unpersist()
+        if not rows:
+            break
+        n = np.zeros(len(rows), np.int64)
+        for k, c in rows:
+            n[k] = c
+        model = LineModel.refitted(n)
+    return model
 
 
 def label_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", model: LineModel | None = None) -> DataFrame:
@@ -280,7 +294,7 @@ def label_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", model:
     Defined results: null, empty and blank texts have no lines and a share of 0; repeated rows are labelled each for itself;
     a text of any length is read whole; an empty table gives no row; other columns, of any name, are ignored.
     """
-    fitted = docs.sparkSession.sparkContext.broadcast(model or fit_line_model(docs, key, text))
+    fitted = docs.sparkSession.sparkContext.broadcast(model or fit_line_model(docs, text))
     fields = [docs.schema[key], T.StructField("lines", T.LongType()), *(T.StructField(s, T.LongType()) for s in STATES), T.StructField("spam_share", T.DoubleType())]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -285,6 +285,22 @@ def test_pages(spark, data):
     assert labels["null"].lines == labels["blank"].lines == 0 and labels["null"].spam_share == 0.0
 
 
+def test_model_is_fitted_on_all_documents(spark):
+    """Short and long documents, many with one key: the model is that of one pass over all of them."""
+    # the long ones are above 20 000 characters
+    texts = [PROSE, "cheap lamp best lamp " * 40, "x = f(1);\n" * 30, "", None, PROSE * 400, "Home\nNews\nAbout us\n" * 2_000] * 30
+    df = spark.createDataFrame([(1 if k % 3 else k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = spam.fit_line_model(df)
+    raw = [t.encode() for t in texts if t is not None]
+    ends = np.append(0, np.cumsum([len(t) for t in raw]))
+    text, _, seen = spam.LineScanner().scan(np.frombuffer(b"".join(raw), np.uint8), ends)
+    expected = spam.LineModel.prior()
+    for _ in range(spam.FIT_ROUNDS):
+        expected = spam.LineModel.refitted(expected.counts(text, seen))
+    assert np.allclose(got.first, expected.first) and np.allclose(got.step, expected.step)
+    assert all(np.allclose(got.emission[f], expected.emission[f]) for f in spam.FIELDS)
+
+
 def test_viterbi_against_all_ways():
     model = spam.LineModel.prior()
     rng = np.random.default_rng(0)
