@@ -27,6 +27,14 @@ def prepare_sequences(index: DataFrame, truncate: int = 1000, sequence: str = "s
     return done.withColumn("seqlen", F.length(sequence))
 
 
+def prepare_jobs(index: DataFrame, checkpoints: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """As :func:`prepare_sequences`, cut to the ``truncate_len`` of the start rows of each sequence's job; whole if the job has none."""
+    start = checkpoints.where("stage = 'start' and job_id is not null").groupBy("job_id").agg(F.max("truncate_len").alias("_cut"))
+    rows = index.where(F.col(sequence).isNotNull()).join(broadcast_if_small(start), "job_id", "left")
+    cut_ = F.substring(F.col(sequence), F.lit(1), F.coalesce("_cut", F.length(sequence)))
+    return rows.withColumn(sequence, clean(cut_)).withColumn("seqlen", F.length(sequence)).drop("_cut")
+
+
 def length_statistics(prepared: DataFrame) -> DataFrame:
     return prepared.agg(F.count("*").alias("sequences"), F.min("seqlen").alias("shortest"), F.avg("seqlen").alias("mean_length"), F.max("seqlen").alias("longest"))
 

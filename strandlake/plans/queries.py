@@ -328,6 +328,19 @@ def length_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.withColumn("mean_length", F.round("mean_length", 6))
 
 
+@query
+def job_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences as their jobs take them: cut to the job's own ``truncate_len``."""
+    return batching.prepare_jobs(_index(spark, sf_dir).drop("seqlen"), table(spark, sf_dir, "emb_checkpoint"), "seq").select("run_index", "seq", "seqlen")
+
+
+@query
+def whole_length_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of the sequences before any cut."""
+    rows = _index(spark, sf_dir).where("seq is not null").withColumn("seqlen", F.length("seq"))
+    return batching.length_statistics(rows).withColumn("mean_length", F.round("mean_length", 6))
+
+
 @query
 def rank_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _index(spark, sf_dir)
@@ -393,7 +406,7 @@ def hits_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def embedded_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residues that the stand-in model makes of each sequence, and the sum of their vectors."""
-    rows = batching.prepare_sequences(_index(spark, sf_dir).drop("seqlen"), 5000, "seq")
+    rows = batching.prepare_jobs(_index(spark, sf_dir).drop("seqlen"), table(spark, sf_dir, "emb_checkpoint"), "seq")
     vectors = embed(rows, lambda: HashEmbedder(8), sequence="seq")
     return vectors.groupBy("run_index").agg(F.count("*").alias("residues"), F.round(F.sum(F.element_at("vec", 1)), 6).alias("first_sum"))
 

@@ -151,3 +151,19 @@ def test_rates_of_a_batch_are_the_expressions(spark):
     assert same.where("(a is null or b is null) and (r.con is not null or r.ident is not null)").count() == 0
     cut = df.where("length(a) != length(b)").withColumn("r", alignment_rates(a, b)).where("length(r.con) != least(length(a), length(b))")
     assert cut.count() == 0
+
+
+def test_sequences_are_cut_as_their_job_says(spark):
+    from strandlake.operators.batching import prepare_jobs
+
+    rows = spark.createDataFrame([(k, job, "ab" * 3000) for k, job in enumerate([1, 2, 3, None])] + [(9, 1, None)], "run_index long, job_id long, seq string")
+    starts = spark.createDataFrame([(1, "start", 7), (1, "start", 7), (2, "start", None), (3, "middle", 7)], "job_id long, stage string, truncate_len int")
+    got = {r.run_index: (r.seq, r.seqlen) for r in prepare_jobs(rows, starts, "seq").collect()}
+    assert got == {0: ("ABABABA", 7)} | {k: ("AB" * 3000, 6000) for k in (1, 2, 3)}
+
+
+def test_length_statistics_of_whole_sequences(spark, data):
+    from strandlake.plans.queries import QUERIES, table
+
+    longest = max(len(r.seq or "") for r in table(spark, data, "seqindex").select("seq").collect())
+    assert QUERIES["whole_length_statistics"](spark, data).first().longest == longest > 1000
