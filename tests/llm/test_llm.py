@@ -264,6 +264,15 @@ REAL = {
     "prose with links": "\n".join(PROSE + f"See [guide](https://a.example/{k}) for more of it." for k in range(10)),
     "code": "\n".join(f"def f{k}(value, other={k}):\n    result = [x * {k} for x in value if x > other]\n    return result[0] + {k}\n" for k in range(20)),
     "csv": "\n".join(f"name{chr(97 + k % 26)}{chr(97 + k % 7)},{k * 37 % 999},0.{k % 1000:03d}" for k in range(60)),
+    "defines": "/* written by tools/gen; edits get lost */\n\n" + "\n".join(f"#define Unit_{k} {k * 37 % 299}" for k in range(50)),
+    "constants": "# made by gen. Do not edit.\n" + "\n".join(f"Target{k} = {k * 53 % 307}" for k in range(50)),
+    "table": "step,level,stack,batch\n" + "\n".join(f"ka{chr(97 + k % 26)}mongal,{k * 7919 % 9973},{w},0.{k * 271 % 997:03d}" for k, w in enumerate(["raft", "ledger", "copper", "cursor", "raft"] * 12)),
+    "tabs": "\n".join(f"{k * 31 % 997}\tvalley\t{k * 17 % 89}.{k % 10}\tlow" for k in range(60)),
+    "shell": "#!/bin/sh\nset -eu\n" + "\n".join(f'if [ -z "$queue{chr(97 + k)}" ]; then\n  exit {k * 19}\nfi' for k in range(8)),
+    "badges": "# Lona\n" + " ".join(f"![cov](http://img.example/{k}/a/badge/long/address)" for k in range(3)) + "\n\n" + PROSE + "\n\n## Links\n\n* [socket](http://kelsa.example/747)\n",
+    "french": "\n".join("Le fichier est lu une fois par jour et les données ne sont pas gardées sur le disque." for _ in range(8)),
+    "japanese": "このバッファは共有されますので、書き込む前に必ず確認してください。\n値が空の場合は、次の行を読み込んでから処理を続けます。\n設定を変更したら、サービスを再起動する必要があります。\n",
+    "key": "-----BEGIN KEY-----\n" + "\n".join("S6928kntUQjHC4EXsUMbu3G2" + "abZ9"[k % 4] for k in range(4)) + "\n-----END KEY-----\nSELECT a, b FROM t WHERE c = 1;\n",
     "java": "\n".join(f"    static final int Name{k} = {k * 7};" for k in range(40)),
     "css": "\n".join(f".a{k}{{margin:{k}px;color:#2{k % 10}d}}" for k in range(60)),
     "manifest": '{\n  "name": "vamon",\n  "dependencies": {\n' + ",\n".join(f'    "lib{k}": "^1.{k}.0"' for k in range(40)) + "\n  }\n}",
@@ -273,45 +282,80 @@ REAL = {
 }
 
 
+def page_model(docs):
+    return spam.fit_line_model(spam.observe_lines(docs, "doc_id", "text"))
+
+
 def test_pages(spark, data):
     names = list(SPAM) + list(REAL)
     df = spark.createDataFrame([(k, (SPAM | REAL)[n], "x") for k, n in enumerate(names)] * 2, "doc_id long, text string, menu string")
-    model = spam.fit_line_model(spark.read.parquet(f"{data}/documents.parquet"))
+    model = page_model(spark.read.parquet(f"{data}/documents.parquet"))
     for m in (model, spam.LineModel.prior()):
         got = sorted(r.doc_id for r in spam.find_spam_pages(df, model=m).collect())
         assert [names[k] for k in got] == list(SPAM)
     assert spam.find_spam_pages(df.limit(0)).collect() == []
     labels = {names[r.doc_id]: r for r in spam.label_pages(df, model=model).collect()}
     assert labels["null"].lines == labels["blank"].lines == 0 and labels["null"].spam_share == 0.0
+    assert labels["csv"].data > 0.9 * labels["csv"].spam_share + 0.5 * len(REAL["csv"].replace("\n", ""))
 
 
 def test_model_is_fitted_on_all_documents(spark):
     """Short and long documents, many with one key: the model is that of one pass over all of them."""
-    # the long ones are above 20 000 characters
     texts = [PROSE, "cheap lamp best lamp " * 40, "x = f(1);\n" * 30, "", None, PROSE * 400, "Home\nNews\nAbout us\n" * 2_000] * 30
     df = spark.createDataFrame([(1 if k % 3 else k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-    got = spam.fit_line_model(df)
+    got = page_model(df)
     raw = [t.encode() for t in texts if t is not None]
     ends = np.append(0, np.cumsum([len(t) for t in raw]))
     text, _, seen = spam.LineScanner().scan(np.frombuffer(b"".join(raw), np.uint8), ends)
     expected = spam.LineModel.prior()
     for _ in range(spam.FIT_ROUNDS):
-        expected = spam.LineModel.refitted(expected.counts(text, seen))
-    assert np.allclose(got.first, expected.first) and np.allclose(got.step, expected.step)
-    assert all(np.allclose(got.emission[f], expected.emission[f]) for f in spam.FIELDS)
+        expected = spam.LineModel.refitted(expected.expected(text, spam.pack(seen)))
+    for a, b in ((got.first, expected.first), (got.step, expected.step), (got.emission, expected.emission)):
+        assert np.allclose(a, b, atol=1e-6)
 
 
-def test_viterbi_against_all_ways():
-    model = spam.LineModel.prior()
-    rng = np.random.default_rng(0)
-    seen = {f: rng.integers(0, n, 9).astype(np.int8) for f, n in spam.FIELDS.items()}
-    text = np.array([0, 0, 0, 0, 1, 2, 2, 2, 2])
-    got = model.label(text, seen)
-    score = model.scores(seen)
+def test_a_fit_stays_near_its_prior(spark):
+    """A corpus of one kind of line only, for which no state was made, changes no probability by more than the bound."""
+    df = spark.createDataFrame([(k, "\n".join(f"zz{j * k}q zz{j}q" for j in range(200))) for k in range(1, 40)], "doc_id long, text string")
+    got, prior = page_model(df), spam.LineModel.prior()
+    for a, b in ((got.first, prior.first), (got.step, prior.step), (got.emission, prior.emission)):
+        assert np.abs(np.log(a / b)).max() < np.log(spam.MOST_DRIFT) + 1e-6
+    assert np.allclose(got.emission.sum(axis=1), len(spam.FIELDS)) and np.allclose(got.step.sum(axis=1), 1) and not np.allclose(got.emission, prior.emission, atol=1e-3)
+
+
+def random_lines(rng, n):
+    return {f: rng.integers(0, k, n).astype(np.int8) for f, k in spam.FIELDS.items()}
+
+
+def test_viterbi_and_expected_counts_against_all_ways():
+    model, k = spam.LineModel.prior(), len(spam.STATES)
+    code = spam.pack(random_lines(np.random.default_rng(0), 8))
+    text = np.array([0, 0, 0, 0, 1, 2, 2, 2])
+    got = model.label(text, code)
+    score = model.likelihood(code)
+    first, step = np.zeros(k), np.zeros((k, k))
     for t in range(3):
         at = np.flatnonzero(text == t)
-        best = max(np.ndindex(*[5] * len(at)), key=lambda s: model.first[s[0]] + sum(score[i, c] for i, c in zip(at, s)) + sum(model.step[a, b] for a, b in zip(s, s[1:])))
-        assert got[at].tolist() == list(best)
+        ways = {s: np.log(model.first[s[0]]) + sum(score[i, c] for i, c in zip(at, s)) + sum(np.log(model.step[a, b]) for a, b in zip(s, s[1:])) for s in np.ndindex(*[k] * len(at))}
+        assert got[at].tolist() == list(max(ways, key=ways.get))
+        total = sum(np.exp(w) for w in ways.values())
+        for s, w in ways.items():
+            p = np.exp(w) / total
+            first[s[0]] += p
+            for a, b in zip(s, s[1:]):
+                step[a, b] += p
+    counts = model.expected(text, code)
+    assert np.allclose(counts[:k], first) and np.allclose(counts[k : k + k * k].reshape(k, k), step)
+    emitted = counts[k + k * k :].reshape(k, -1)
+    assert np.isclose(emitted.sum(), 8 * len(spam.FIELDS))
+
+
+def test_packed_lines_keep_their_values():
+    seen = random_lines(np.random.default_rng(1), 50)
+    code = spam.pack(seen)
+    model = spam.LineModel.prior()
+    by_field = sum(np.log(model.emission[:, a:b])[:, seen[f]].T for f, a, b in zip(spam.FIELDS, spam._FIRST, spam._FIRST[1:]))
+    assert np.allclose(model.likelihood(code), by_field)
 
 
 def test_long_page(spark):
@@ -337,6 +381,12 @@ def test_long_texts_in_pieces(coder, monkeypatch):
     assert len(list(longtext.line_pieces(raw, 5000))) > 30
     many = scanner.scan(raw, whole)
     assert np.array_equal(one[1], many[1]) and all(np.array_equal(one[2][f], many[2][f]) for f in spam.FIELDS)
+    # lines longer than a piece: they count as one
+    flat = np.frombuffer(("a line, " + text.replace("\n", " ") + "\nshort\n#tag list " + "word, other " * 3000 + "end.").encode(), np.uint8)
+    many = scanner.scan(flat, np.array([0, len(flat)]))
+    monkeypatch.setattr(spam, "LONG_BYTES", 4 << 20)
+    one = scanner.scan(flat, np.array([0, len(flat)]))
+    assert len(one[1]) == 3 and np.array_equal(one[1], many[1]) and all(np.array_equal(one[2][f], many[2][f]) for f in spam.FIELDS if f != "shape")
 
     passage = " ".join(f"alpha{k}" for k in range(30))
     long = (" filler" * 700 + " " + passage) * 40
