@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.session import broadcast_if_small, cut, scratch_path
@@ -15,6 +15,14 @@ from strandlake.session import broadcast_if_small, cut, scratch_path
 Step = Callable[[dict[str, np.ndarray], bytes | None, bool], tuple[dict[str, np.ndarray], bytes]]
 
 
+def all_cores(spark: SparkSession, rows: int = 0, rows_per_task: int = 1) -> int:
+    """How many tasks keep all cores busy with rows that cost far more than their bytes: twice the cores, more if a task had more than ``rows_per_task``.
+
+    A repartition with a number isn't merged for being small.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, rows // rows_per_task)
+
+
 def spread(df: DataFrame, *by: str | Column) -> DataFrame:
     """Small inputs over all cores: a stage whose rows cost far more than their bytes mustn't run in one task."""
     spark = df.sparkSession
