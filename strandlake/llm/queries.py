@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm.components import connected_groups
 from strandlake.llm.encode import encode_corpus
-from strandlake.llm.leaks import find_leaks
+from strandlake.llm.leaks import find_leaks, remove_leaks
 from strandlake.llm.packing import pack_sequences
 from strandlake.llm.spam import find_spam_pages
 from strandlake.llm.topn import current_top_hits
@@ -35,12 +35,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p7_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, without the passages of the items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_leaks(docs, table(spark, sf_dir, "eval_items"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_spam_pages(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_batches, p4_found, p6_ids, p7_found, p8_found)
+    f.__name__: f for f in (p1_found, p2_batches, p4_found, p6_ids, p7_found, p7_removed, p8_found)
 }
 
 SQL: dict[str, str] = {
