@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlake.operators.ranking import all_cores
 from strandlake.session import broadcast_if_small, cut, scratch_path
 
 ROW_GROUP_BYTES = 1 << 20
+#: Row groups that are read in one task at most on average, and those of a file that stay together.
+TASK_ROW_GROUPS, NEIGHBOURS = 128, 16
 STATS = "path string, rg int, rows long, lo string, hi string, top double, low double"
 
 
@@ -28,15 +31,21 @@ def latest_rows(df: DataFrame, key: str, version: str, columns: list[str]) -> Da
     return best.select(key, *[F.col("_r")[c].alias(c) for c in columns])
 
 
+def _place(path: str) -> tuple:
+    """File system and inner path of a file as Spark names it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
 def _statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Row-group statistics from the files' footers."""
     import pyarrow.parquet as pq
-    from pyarrow import fs
 
     for batch in batches:
         rows = []
         for path in batch["path"]:
-            store, inner = fs.FileSystem.from_uri(path)
+            store, inner = _place(path)
             meta = pq.read_metadata(inner, filesystem=store)
             names = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
             for k in range(meta.num_row_groups):
@@ -58,7 +67,6 @@ def _first_of_runs(frame: pd.DataFrame, n: int) -> pd.DataFrame:
 def _reader(n: int):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
-        from pyarrow import fs
 
         parts = list(batches)
         if not parts:
@@ -69,7 +77,7 @@ def _reader(n: int):
         for path, rg, lo, hi, top in asked.sort_values(["top", "path", "rg"], ascending=[False, True, True])[["path", "rg", "lo", "hi", "top"]].itertuples(index=False):
             if lo is not None and lo == hi and top < nth.get(lo, -np.inf):
                 continue
-            store, inner = fs.FileSystem.from_uri(path)
+            store, inner = _place(path)
             with pq.ParquetFile(inner, filesystem=store) as f:
                 frame = _first_of_runs(f.read_row_group(int(rg), columns=["g", "s", "t", "k"]).to_pandas(), n)
             for edge in {lo, hi} - {None}:  # only the groups at its edges can go on in other row groups
@@ -99,16 +107,21 @@ def top_n(df: DataFrame, group: str, score: str, tie: str, key: str, n: int = 10
     layout = scratch_path(spark, "topn")
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", row_group_bytes).option("parquet.page.size", max(64 << 10, row_group_bytes // 8)).parquet(layout)
 
-    files = spark.createDataFrame([(f,) for f in spark.read.schema("g string").parquet(layout).inputFiles()], "path string")
-    stats = cut(files.repartition("path").mapInPandas(_statistics, STATS), "topn-stats")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(layout).select("path")
+    stats = cut(listed.repartition(all_cores(spark), "path").mapInPandas(_statistics, STATS), "topn-stats")
     pure = F.col("lo").isNotNull() & (F.col("lo") == F.col("hi"))
-    # what the statistics alone prove: n rows of the group score at least this much
-    reach = Window.partitionBy("lo").orderBy(F.col("low").desc(), "path", "rg").rowsBetween(Window.unboundedPreceding, 0)
-    floor = stats.where(pure).withColumn("_have", F.sum("rows").over(reach)).where(F.col("_have") >= n).groupBy("lo").agg(F.max("low").alias("_floor"))
+    # what the statistics alone prove: n rows of the group score at least this much. A row group has a row at least, so the n
+    # row groups that are highest at their low end settle it; they are picked in every task before anything is shuffled
+    highest = Window.partitionBy("lo").orderBy(F.col("low").desc(), "path", "rg")
+    upper = stats.where(pure).select("lo", "low", "rows", "path", "rg").withColumn("_n", F.row_number().over(highest)).where(F.col("_n") <= n)
+    reach = highest.rowsBetween(Window.unboundedPreceding, 0)
+    floor = upper.withColumn("_have", F.sum("rows").over(reach)).where(F.col("_have") >= n).groupBy("lo").agg(F.max("low").alias("_floor"))
     wanted = stats.join(broadcast_if_small(floor, max_files_listed), "lo", "left").where(~F.coalesce(pure & (F.col("top") < F.col("_floor")), F.lit(False)))
     kind = T.StructType([T.StructField("g", T.StringType()), T.StructField("s", T.DoubleType()), T.StructField("t", T.LongType()), T.StructField("k", df.schema[key].dataType)])
-    # neighbouring row groups go to one task, so that a group's later ones can be skipped; a large group still has many tasks
-    found = wanted.select("path", "rg", "lo", "hi", "top").repartition(F.col("path"), F.floor(F.col("rg") / 16)).mapInPandas(_reader(n), kind)
+    # neighbouring row groups go to one task, so that a group's later ones can be skipped; a large group still has many tasks,
+    # and the tasks are numbered, as row groups are worth far more than the few bytes that name them
+    tasks = all_cores(spark, stats.count(), TASK_ROW_GROUPS)
+    found = wanted.select("path", "rg", "lo", "hi", "top").repartition(tasks, F.col("path"), F.floor(F.col("rg") / NEIGHBOURS)).mapInPandas(_reader(n), kind)
     last = Window.partitionBy("g").orderBy(*order[1:])
     return found.withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= n).select(F.col("g").alias(group), F.col("k").alias(key))
 

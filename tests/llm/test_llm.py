@@ -40,12 +40,21 @@ def test_top_n(spark, row_group_bytes):
     assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == best_by_hand(rows, 10)
 
 
-def test_top_n_skips_row_groups(spark, monkeypatch):
-    df = spark.range(300_000).select(F.lit("hot").alias("q"), (F.col("id") % 9973).cast("double").alias("s"), F.lit(1).alias("t"), "id")
-    got = topn.top_n(df, "q", "s", "t", "id", 5, 64 << 10)
-    read = got._jdf.queryExecution().optimizedPlan().toString()
-    assert "MapInPandas" in read
-    assert [r.id for r in got.orderBy("id").collect()] == [9972 + 9973 * k for k in range(5)]
+def test_top_n_reads_over_all_cores(spark):
+    """One group in hundreds of row groups: no task has most of them, and those below the floor aren't named at all."""
+    df = spark.range(300_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 997)).alias("q"), (F.col("id") % 9973).cast("double").alias("s"), F.lit(1).alias("t"), "id")
+    before = {s.stageId() for s in stages(spark)}
+    got = topn.top_n(df, "q", "s", "t", "id", 5, 16 << 10)
+    assert got.where("q = 'hot'").count() == 5 and got.count() == 5 * 998
+    tasks = [s.numTasks() for s in stages(spark) if s.stageId() not in before]
+    assert sum(n >= 2 * spark.sparkContext.defaultParallelism for n in tasks) >= 2
+    best = df.where("q = 'hot'").orderBy(F.desc("s"), "id").limit(5).collect()
+    assert {r.id for r in got.where("q = 'hot'").collect()} == {r.id for r in best}
+
+
+def stages(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    return list(spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)))
 
 
 def test_top_n_empty(spark):
@@ -247,6 +256,47 @@ def test_leak_edges_and_removal(spark):
     assert leaks.find_leaks(df.limit(0), items).collect() == [] and leaks.find_leaks(df, items.limit(0)).collect() == []
 
 
+def slow_windows(raw, prompts, n=12):
+    words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(rb"[0-9A-Za-z]+", raw)]
+    known = {tuple(w[k : k + n]) for p in prompts for w in [re.findall(rb"[0-9a-z]+", p.lower().encode())] for k in range(len(w) - n + 1)}
+    return {(words[k][0], words[k + n - 1][1]) for k in range(len(words) - n + 1) if tuple(w for _, _, w in words[k : k + n]) in known}
+
+
+def test_leaks_in_texts_of_any_length(monkeypatch):
+    """Words far apart, words longer than a piece, and pieces of every size: as in one pass."""
+    passage = [f"w{k}" for k in range(12)]
+    index = leaks.LeakIndex([(1, " ".join(passage))])
+    apart = ("x " * 1_000_000 + " ".join(passage[:6]) + "é" * 2_250_000 + " ".join(passage[6:]) + " y" * 100).encode()
+    raw = np.frombuffer(apart, np.uint8)
+    assert len(list(index.scan(raw, np.array([0, len(raw)])))) == 1
+    rng = random.Random(5)
+    for size in (7, 40, 300):
+        monkeypatch.setattr(leaks, "SLICE_BYTES", size)
+        giant = "q" * 200
+        prompts = [" ".join(passage), " ".join(passage[3:] + ["z"] * 4), giant[:90] + " " + " ".join(passage)]
+        index = leaks.LeakIndex([(k, p) for k, p in enumerate(prompts)])
+        for _ in range(20):
+            text = ""
+            for _ in range(80):
+                text += rng.choice([" ".join(passage), " ".join(passage[:5]), " ".join(passage[5:]), "z z z z", giant, giant[:90], "é" * rng.randint(1, 60), "a"]) + rng.choice([" ", "\n", "", " - "])
+            raw = np.frombuffer(text.encode(), np.uint8)
+            got = [(x, y) for _, _, x, y in index.scan(raw, np.array([0, len(raw)]))]
+            assert len(got) == len(set(got)) and set(got) == slow_windows(text.encode(), prompts)
+
+
+def test_items_in_blocks(spark):
+    """Spans of items in different blocks overlap: the text is cut as in one pass. Long prompts come in pieces."""
+    words = [f"v{k}" for k in range(40)]
+    prompts = [" ".join(words[:14]), " ".join(words[9:25]), " ".join(words[20:]), " ".join(f"p{k}" for k in range(3000))]
+    items = spark.createDataFrame(list(enumerate(prompts)), "item_id long, prompt string")
+    docs = spark.createDataFrame([(1, "a " + " ".join(words) + " b"), (2, " ".join(f"p{k}" for k in range(1490, 1520))), (3, None), (4, "")], "doc_id long, text string")
+    whole = [leaks.remove_leaks(docs, items).collect(), leaks.find_leaks(docs, items).collect()]
+    for limits in ({"max_items": 1}, {"max_bytes": 6000}):
+        assert sorted(leaks.remove_leaks(docs, items, **limits).collect(), key=str) == sorted(whole[0], key=str)
+        assert sorted(leaks.find_leaks(docs, items, **limits).collect()) == sorted(whole[1]) == [(1, 0), (1, 1), (1, 2), (2, 3)]
+    assert {r.doc_id: r.text for r in whole[0]} == {1: "a  b", 2: "", 3: None, 4: ""}
+
+
 # --- keyword and link pages ----------------------------------------------------------------------------------------
 
 PROSE = "This module will align the faded gate whenever a filter is split enough for the garden in use. "
@@ -403,3 +453,18 @@ def test_labels_hold_out(spark, data):
     found = {r.doc_id for r in spam.find_spam_pages(docs).collect()}
     links = {r.doc_id for r in docs.where(F.col("text").isNotNull()).collect() if sum(map(len, re.findall(r"https?://\S+", r.text))) > 0.6 * len(r.text)}
     assert links <= found and len(found) < 0.2 * docs.count()
+
+
+def test_removed_passages_in_the_tables(spark, data):
+    from strandlake.llm.queries import QUERIES
+
+    docs, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "eval_items"))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    prompts = [r.prompt for r in items.collect() if r.prompt]
+    got = {r.doc_id: r.text for r in QUERIES["p7_removed"](spark, data).collect()}
+    assert got.keys() == texts.keys()
+    for key, text in texts.items():
+        if text is not None and got[key] != text:
+            assert slow_windows(text.encode(), prompts) and len(got[key]) < len(text)
+    leaked = {doc for doc, _ in leaks_by_hand(list(texts.items()), [(r.item_id, r.prompt) for r in items.collect()])}
+    assert {k for k in texts if got[k] != texts[k]} == leaked
