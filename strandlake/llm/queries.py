@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandlake.llm.components import connected_groups
 from strandlake.llm.encode import encode_corpus
 from strandlake.llm.leaks import find_leaks, remove_leaks
-from strandlake.llm.packing import pack_sequences
+from strandlake.llm.packing import batch_totals, pack_sequences
 from strandlake.llm.spam import find_spam_pages
 from strandlake.llm.topn import current_top_hits
 from strandlake.session import table
@@ -23,6 +23,11 @@ def p2_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(table(spark, sf_dir, "seqindex"), table(spark, sf_dir, "emb_checkpoint"))
 
 
+def p2_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence whole and once, no batch above its capacity."""
+    return batch_totals(p2_batches(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(table(spark, sf_dir, "match_pairs"))
 
@@ -46,7 +51,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_batches, p4_found, p6_ids, p7_found, p7_removed, p8_found)
+    f.__name__: f for f in (p1_found, p2_batches, p2_totals, p4_found, p6_ids, p7_found, p7_removed, p8_found)
 }
 
 SQL: dict[str, str] = {
@@ -58,6 +63,12 @@ SQL: dict[str, str] = {
           SELECT qid, hit_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, match_len DESC, hit_id) AS n
           FROM current WHERE qid IS NOT NULL AND score IS NOT NULL AND NOT isnan(score))
         SELECT qid, hit_id FROM ranked WHERE n <= 10""",
+    "p2_totals": """
+        WITH last AS (
+          SELECT run_index, job_id, greatest(coalesce(seqlens, length(seq), 0), 0) AS len,
+            row_number() OVER (PARTITION BY run_index ORDER BY loaded_at DESC, job_id DESC, coalesce(seqlens, length(seq), 0) DESC) AS n
+          FROM seqindex WHERE run_index IS NOT NULL AND job_id IS NOT NULL)
+        SELECT job_id, count(*) AS sequences, CAST(sum(len) AS BIGINT) AS residues, CAST(0 AS BIGINT) AS overfull FROM last WHERE n = 1 GROUP BY job_id""",
     "p4_found": """
         WITH RECURSIVE raw AS (SELECT upper(trim(qid, ' ')) AS a, upper(trim(sid, ' ')) AS b FROM match_pairs),
         links AS (SELECT a, b FROM raw WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM raw WHERE a IS NOT NULL AND b IS NOT NULL),

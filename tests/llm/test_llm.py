@@ -89,6 +89,16 @@ def test_each_step_takes_the_smallest_sum_of_squares():
         assert total(fill) == min(ways) and fill[b] <= capacity
 
 
+def test_gaps_that_occur_only_give_the_same_bins():
+    rng = np.random.default_rng(4)
+    for capacity in (1, 7, 60, 500):
+        for sizes in (rng.integers(0, capacity + 1, 300), -np.sort(-rng.integers(0, capacity + 1, 300))):
+            assert np.array_equal(packing.sum_of_squares(sizes, capacity), packing.sum_of_squares(sizes, capacity, dense=0))
+    great = rng.integers(1, 10**9, 2000)
+    bins = packing.pack_block(great, 10**9)
+    assert np.bincount(bins, weights=great).max() <= 10**9 and bins.max() + 1 < 1.1 * great.sum() / 10**9
+
+
 @pytest.mark.parametrize("block", [40, 20_000])
 def test_packed_jobs(spark, block):
     rng, at = random.Random(2), dt.datetime(2024, 1, 1)
