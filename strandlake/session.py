@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Settings that suit the operators of this library; a cluster's own values win where they are set.
@@ -84,6 +84,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`cut`, with aggregates (longs; null counts as 0) that are taken while the table is written, so they cost no job of their own.
+
+    A task that runs again can be counted again: good for "nothing changed" and for sizes, not for exact totals.
+    """
+    seen = Observation()
+    out = cut(df.observe(seen, *(c.alias(k) for k, c in counts.items())), name)
+    return out, {k: seen.get.get(k) or 0 for k in counts}
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reads no more than it must."""
     return df.limit(max_rows + 1).count() <= max_rows
