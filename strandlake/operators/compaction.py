@@ -1,25 +1,41 @@
 """Consolidating millions of tiny files into few well-sized ones.
 
-The consolidated store is a Parquet folder partitioned by ``part_id``. A part is a set of directories of about
-``target_bytes``; a directory larger than that is spread over parts by record. Only parts with more small files than
-allowed are rewritten (dynamic partition overwrite), all others are left alone. Each change of the store is a numbered
-snapshot: it is claimed by creating the next version's file exclusively, the files of the parts to be rewritten are
-compared with those that were read, and the version is committed after the written parts were counted.
+The consolidated store is a Parquet folder partitioned by ``part_id`` and ``write``. A part holds the records of some
+directories, about ``target_bytes`` together; a larger directory has parts of its own. Where a directory lies is decided
+once and kept (its placement); if it outgrows its parts, or its part outgrows the target, it is placed anew, and the parts
+that held it are rewritten in the same change. Only parts with more small files than allowed are rewritten (dynamic
+partition overwrite), all others are left alone.
+
+Each change is a numbered snapshot: a manifest of the writes that count in each part, and the placement. A change writes
+under a name of its own and touches nothing that a reader or another writer sees; it counts from the moment its version's file is
+created, which only one of several writers can do (this needs a file system whose exclusive creation is exclusive, as HDFS
+has; not every object store does). Before that the version and the files that were read are checked. A writer that dies leaves
+files that no manifest names, and at most an empty version file, which gives way after ``CLAIM_SECONDS``.
 """
 
 from __future__ import annotations
 
 import json
-import math
+import time
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandlake.session import broadcast_if_small, cut
+from strandlake.operators.ranking import totals_before
+from strandlake.session import broadcast_if_small, cut, cut_counted
 
 RECORD = ["dir", "run_index"]
 STORED = ["dir", "run_index", "file_id", "size_bytes", "modified_at", "payload"]
+CONTENT = "dir string, run_index long, file_id long, size_bytes long, modified_at timestamp_ntz, payload binary"
+MANIFEST = "part_id long, write string, files long, small long, bytes long"
+PLACEMENT = "dir string, first long, fan long, held long"
+CLAIM_SECONDS = 600
+#: A directory or part is placed anew beyond so many times its target.
+OVERFULL = 2
 
 
 class SnapshotConflict(RuntimeError):
@@ -44,8 +60,14 @@ def good_copy(ext: str = ".emb") -> Column:
     return F.coalesce((F.col("ext") == ext) & (F.col("size_bytes") > 0) & (F.octet_length("payload") == F.col("size_bytes")), F.lit(False))
 
 
+def best_copies(copies: DataFrame) -> DataFrame:
+    """``(dir, run_index, modified_at, file_id, size_bytes)``: one copy per record, modified last (null first of all), then the greatest ``file_id``. Pre-aggregated, without payloads."""
+    best = copies.groupBy(*RECORD).agg(F.max(F.struct("modified_at", "file_id", "size_bytes")).alias("_b"))
+    return best.select(*RECORD, "_b.modified_at", "_b.file_id", "_b.size_bytes")
+
+
 def latest_copy(df: DataFrame) -> DataFrame:
-    """One copy per record: modified last (null first of all), then the greatest ``file_id``; needs ``part_id`` beside the record."""
+    """:func:`best_copies` with all columns; needs ``part_id`` beside the record."""
     w = Window.partitionBy("part_id", *RECORD).orderBy(F.col("modified_at").desc_nulls_last(), F.col("file_id").desc_nulls_last())
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
@@ -68,8 +90,12 @@ def _read_text(spark: SparkSession, path: str) -> str:
 
 
 def _create_new(spark: SparkSession, path: str, text: str) -> None:
-    """Write a file that mustn't exist yet; of several writers only one succeeds."""
+    """Write a file that mustn't exist yet; of several writers only one succeeds. An empty one that was left behind gives way."""
     fs, hpath = _fs(spark, path)
+    if fs.exists(hpath):
+        status = fs.getFileStatus(hpath)
+        if status.getLen() == 0 and status.getModificationTime() < (time.time() - CLAIM_SECONDS) * 1000:
+            fs.delete(hpath, False)
     try:
         stream = fs.create(hpath, False)
     except Exception as e:
@@ -78,46 +104,97 @@ def _create_new(spark: SparkSession, path: str, text: str) -> None:
     stream.close()
 
 
-def current_snapshot(spark: SparkSession, store: str) -> dict:
-    """The last committed snapshot; version 0 for a new store."""
+def _versions(spark: SparkSession, store: str) -> list[int]:
     fs, hpath = _fs(spark, f"{store}/snapshots")
     if not fs.exists(hpath):
-        return {"version": 0, "parts": None}
-    names = [s.getPath().getName() for s in fs.listStatus(hpath)]
-    done = sorted(int(n[1:-5]) for n in names if n.endswith(".json"))
-    return json.loads(_read_text(spark, f"{store}/snapshots/v{done[-1]:08d}.json")) if done else {"version": 0, "parts": None}
+        return []
+    return sorted(int(s.getPath().getName()[1:-5]) for s in fs.listStatus(hpath) if s.getPath().getName().endswith(".json") and s.getLen())
 
 
-def part_files(spark: SparkSession, store: str) -> DataFrame:
-    """``(part_id, path, bytes)`` of every data file of the store, listed by Spark."""
-    fs, hpath = _fs(spark, f"{store}/data")
-    schema = "part_id long, path string, bytes long"
-    if not fs.exists(hpath):
+def current_snapshot(spark: SparkSession, store: str) -> dict:
+    """The last committed snapshot; version 0 for a new store."""
+    done = _versions(spark, store)
+    if not done:
+        return {"version": 0, "write": None, "open_part": 0, "open_bytes": 0, "next_part": 1}
+    return json.loads(_read_text(spark, f"{store}/snapshots/v{done[-1]:08d}.json"))
+
+
+def _state(spark: SparkSession, store: str, snapshot: dict, kind: str, schema: str) -> DataFrame:
+    if snapshot["write"] is None:
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{store}/data")
-    return files.select(F.regexp_extract("path", r"part_id=(\d+)", 1).cast("long").alias("part_id"), "path", F.col("length").alias("bytes"))
+    return spark.read.schema(schema).parquet(f"{store}/state/{snapshot['write']}/{kind}")
 
 
-def _fingerprints(files: DataFrame) -> DataFrame:
-    return files.groupBy("part_id").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.sum(F.xxhash64("path").bitwiseAND(0xFFFFFFFF)).alias("print"))
+def _listed(spark: SparkSession, store: str, glob: str = "write=*") -> DataFrame:
+    """``(part_id, write, path, bytes, at)`` of data files, listed by Spark."""
+    fs, hpath = _fs(spark, f"{store}/data/part_id=*/{glob}")
+    found = fs.globStatus(hpath)
+    if not found:
+        return spark.createDataFrame([], "part_id long, write string, path string, bytes long, at timestamp")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{store}/data/part_id=*/{glob}")
+    part, write = F.regexp_extract("path", r"part_id=(\d+)", 1).cast("long"), F.regexp_extract("path", r"write=([^/]+)", 1)
+    return files.select(part.alias("part_id"), write.alias("write"), "path", F.col("length").alias("bytes"), F.col("modificationTime").alias("at"))
 
 
-def _changed(spark: SparkSession, store: str, prints: DataFrame, rewrite: DataFrame) -> bool:
-    """Whether the files of a part to be rewritten aren't those that were read."""
-    was, now = (d.select("part_id", F.struct("files", "bytes", "print").alias(c)) for d, c in ((prints, "was"), (_fingerprints(part_files(spark, store)), "now")))
-    return bool(rewrite.join(was, "part_id", "left").join(now, "part_id", "left").where(~F.col("was").eqNullSafe(F.col("now"))).take(1))
+def part_files(spark: SparkSession, store: str) -> DataFrame:
+    """``(part_id, path, bytes)`` of every data file that counts in the current snapshot."""
+    live = _state(spark, store, current_snapshot(spark, store), "manifest", MANIFEST)
+    return _listed(spark, store).join(live.select("part_id", "write"), ["part_id", "write"], "left_semi").select("part_id", "path", "bytes")
 
 
-# --- compaction ----------------------------------------------------------------------------------------------------
+def _content(spark: SparkSession, store: str, live: DataFrame) -> DataFrame:
+    """The rows of the writes in ``live``, with ``part_id``. Copies of one record may be among them."""
+    if not live.head(1):
+        return spark.createDataFrame([], CONTENT + ", part_id long")
+    data = spark.read.schema(CONTENT + ", part_id long, write string").parquet(f"{store}/data")
+    return data.join(broadcast_if_small(live.select("part_id", "write")), ["part_id", "write"], "left_semi").select(*STORED, "part_id")
+
+
+# --- placement -----------------------------------------------------------------------------------------------------
 
 
-def assign_parts(files: DataFrame, parts: int, target_bytes: int) -> DataFrame:
-    """Add ``dir`` and ``part_id``. A directory above ``target_bytes`` is spread over the parts by its records."""
-    named = files.withColumn("dir", normal_dir(F.col("embeddingpath")))
-    large = named.groupBy("dir").agg(F.sum("size_bytes").alias("_b")).where(F.col("_b") > target_bytes).select("dir", F.lit(True).alias("_large"))
-    named = named.join(broadcast_if_small(large), "dir", "left")
-    by_dir, by_record = F.xxhash64("dir"), F.xxhash64("dir", "run_index")
-    return named.withColumn("part_id", F.pmod(F.when(F.col("_large"), by_record).otherwise(by_dir), F.lit(parts))).drop("_large")
+def _same(a: str, b: str, *columns: str) -> list[Column]:
+    return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns]
+
+
+def place(rows: DataFrame, placement: DataFrame) -> DataFrame:
+    """Add ``part_id``: the directory's part, or one of its parts by the record."""
+    joined = rows.alias("r").join(broadcast_if_small(placement).alias("p"), _same("r", "p", "dir"))
+    return joined.select("r.*", (F.col("p.first") + F.pmod(F.xxhash64("r.run_index"), F.col("p.fan"))).alias("part_id"))
+
+
+def _placed_anew(spark: SparkSession, snapshot: dict, placement: DataFrame, best: DataFrame, target: int) -> tuple[DataFrame, DataFrame, dict]:
+    """The placement with the arrivals, the parts that lose a directory, and where the next ones go.
+
+    Small directories fill the open part and then new ones, in their order; a large one gets ``fan`` new parts. Both follow
+    from running totals over all directories that need a place.
+    """
+    added = best.groupBy("dir").agg(F.sum("size_bytes").alias("added"))
+    both = added.alias("a").join(placement.alias("p"), _same("a", "p", "dir"), "full")
+    known = both.select(F.coalesce("a.dir", "p.dir").alias("dir"), "first", "fan", (F.coalesce("held", F.lit(0)) + F.coalesce("added", F.lit(0))).alias("held"))
+    known = cut(known, "directories")
+    crowds = known.where("fan = 1").groupBy("first").agg(F.sum("held").alias("_h"), F.count("*").alias("_d")).where((F.col("_h") > OVERFULL * target) & (F.col("_d") > 1)).select("first", F.lit(True).alias("_over"))
+    marked = known.join(broadcast_if_small(crowds), "first", "left")
+    moves = F.col("first").isNull() | (F.col("held") > OVERFULL * target * F.col("fan")) | ((F.col("fan") == 1) & F.coalesce("_over", F.lit(False)))
+    marked, counts = cut_counted(marked.withColumn("_moves", moves).drop("_over"), "placement", n=F.count_if("_moves"))
+    if not counts["n"]:
+        return marked.drop("_moves"), spark.createDataFrame([], "part_id long"), snapshot
+    moved = marked.where("_moves")
+    left = moved.where("first is not null").select(F.explode(F.sequence("first", F.col("first") + F.col("fan") - 1)).alias("part_id")).distinct()
+    moved = moved.select("dir", "held", (F.col("held") > target).alias("_large"), F.ceil(F.col("held") / target).alias("_parts"))
+    # one order for both: a small directory counts by its bytes, a large one by its parts
+    laid = totals_before(moved, ["dir"], {"_bytes": F.when(~F.col("_large"), F.col("held")).otherwise(0), "_fans": F.when(F.col("_large"), F.col("_parts")).otherwise(0)})
+    sums = moved.agg(F.sum(F.when(~F.col("_large"), F.col("held")).otherwise(0)).alias("b"), F.sum(F.when(F.col("_large"), F.col("_parts")).otherwise(0)).alias("f")).first()
+    step = F.floor((F.lit(snapshot["open_bytes"]) + F.col("_bytes")) / target)
+    opened = (snapshot["open_bytes"] + sums["b"]) // target
+    next_part = snapshot["next_part"] + opened
+    first = F.when(F.col("_large"), F.lit(next_part) + F.col("_fans")).when(step == 0, F.lit(snapshot["open_part"])).otherwise(snapshot["next_part"] + step - 1)
+    anew = laid.select("dir", first.cast("long").alias("first"), F.when(F.col("_large"), F.col("_parts")).otherwise(1).cast("long").alias("fan"), "held")
+    after = {"open_part": snapshot["next_part"] + opened - 1 if opened else snapshot["open_part"], "open_bytes": (snapshot["open_bytes"] + sums["b"]) % target, "next_part": next_part + sums["f"]}
+    return cut(marked.where("not _moves").select("dir", "first", "fan", "held").unionByName(anew), "placement"), left, after
+
+
+# --- compaction ----------------------------------------------------------------------------------------------------
 
 
 def compact(
@@ -133,68 +210,95 @@ def compact(
     """Take ``arrivals`` (one row per tiny file) into the store and rewrite each part that then has more than ``max_small_files`` files below ``small_bytes``.
 
     A record is a directory (compared without empty and ``.`` segments) and a ``run_index``; only good copies count and
-    the one modified last stays, see :func:`good_copy` and :func:`latest_copy`. Parts at or below the limit get their
-    arrivals appended; :func:`read_store` resolves copies there.
+    the one modified last stays, see :func:`good_copy` and :func:`best_copies`. Parts at or below the limit get their
+    arrivals appended; :func:`read_store` resolves copies there. The copy of each arriving record is chosen over all cores
+    without the payloads, which are shuffled once, to their parts.
 
     Defined results: an empty table leaves an empty store; a null directory or ``run_index`` is a value of its own;
     repeated rows are one copy; other columns, of any name, are not stored.
     """
     before = current_snapshot(spark, store)
-    held = cut(part_files(spark, store), "held")
-    prints = cut(_fingerprints(held), "prints")
-    parts = before["parts"]
-    wanted = ["embeddingpath", "run_index", "file_id", "ext", "size_bytes", "modified_at", "payload"]
-    fresh = None
+    manifest = cut(_state(spark, store, before, "manifest", MANIFEST), "manifest")
+    placement = _state(spark, store, before, "placement", PLACEMENT)
+    held_files = manifest.agg(F.sum("files")).first()[0] or 0
+    leaving, after = spark.createDataFrame([], "part_id long"), before
+    small = manifest.groupBy("part_id").agg(F.sum("small").alias("n"))
+    good = best = None
     if arrivals is not None:
-        fresh = arrivals.select(*wanted)
-        if parts is None:
-            total = fresh.agg(F.sum("size_bytes")).first()[0] or 0
-            parts = max(1, math.ceil(total / target_bytes))
-        fresh = assign_parts(fresh, parts, target_bytes)
-    if parts is None:
-        return CompactionReport(0, 0, 0, 0)
-
-    small = held.where(F.col("bytes") < small_bytes).groupBy("part_id").agg(F.count("*").alias("n"))
-    if fresh is not None:
-        small = small.unionByName(fresh.where(F.col("size_bytes") < small_bytes).groupBy("part_id").agg(F.count("*").alias("n")))
-    rewrite = cut(small.groupBy("part_id").agg(F.sum("n").alias("n")).where(F.col("n") > max_small_files).select("part_id"), "rewrite")
-    n_rewrite = rewrite.count()
-    if not n_rewrite and fresh is None:
-        files = held.count()
-        return CompactionReport(before["version"], 0, files, files)
+        good = arrivals.select("embeddingpath", "run_index", "file_id", "ext", "size_bytes", "modified_at", "payload").where(good_copy(ext))
+        good = good.withColumn("dir", normal_dir(F.col("embeddingpath"))).select(*STORED)
+        best, counts = cut_counted(best_copies(good), "best", n=F.count(F.lit(1)))
+        if counts["n"]:
+            placement, leaving, after = _placed_anew(spark, before, placement, best, target_bytes)
+            best = cut(place(best, placement), "best")
+            small = small.unionByName(best.where(F.col("size_bytes") < small_bytes).groupBy("part_id").agg(F.count("*").alias("n")))
+        else:
+            best = None
+    crowded = small.groupBy("part_id").agg(F.sum("n").alias("n")).where(F.col("n") > max_small_files).select("part_id")
+    rewrite, counts = cut_counted(crowded.unionByName(leaving).distinct(), "rewrite", n=F.count(F.lit(1)))
+    n_rewrite = counts["n"]
+    if not n_rewrite and best is None:
+        return CompactionReport(before["version"], 0, held_files, held_files)
+
+    write = f"w{before['version'] + 1}-{uuid.uuid4().hex[:12]}"
+    old = manifest.join(broadcast_if_small(rewrite), "part_id", "left_semi")
+    sources = [place(_content(spark, store, old).drop("part_id"), placement)]
+    parts = n_rewrite
+    if best is not None:
+        # copies that aren't the best one of their record go no further; equal rows still do
+        chosen = good.alias("r").join(broadcast_if_small(best.select(*RECORD, "file_id", "modified_at", "part_id")).alias("b"), _same("r", "b", *RECORD, "file_id", "modified_at"))
+        sources.append(chosen.select("r.*", "b.part_id"))
+        parts = max(parts, best.agg(F.approx_count_distinct("part_id")).first()[0])
+    whole = sources[0] if len(sources) == 1 else sources[0].unionByName(sources[1])
+    # one shuffle for the choice of the copy and for the layout; more tasks than parts, so that few tasks have several
+    placed = latest_copy(whole.repartition(4 * parts, "part_id")).withColumn("write", F.lit(write))
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part_id", "write").parquet(f"{store}/data")
+
+    new = _listed(spark, store, f"write={write}").groupBy("part_id", "write").agg(F.count("*").alias("files"), F.count_if(F.col("bytes") < small_bytes).alias("small"), F.sum("bytes").alias("bytes"))
+    now = manifest.join(broadcast_if_small(rewrite), "part_id", "left_anti").unionByName(new)
+    now.write.parquet(f"{store}/state/{write}/manifest")
+    placement.write.parquet(f"{store}/state/{write}/placement")
+    if current_snapshot(spark, store)["version"] != before["version"] or _changed(spark, store, old):
+        raise SnapshotConflict(f"the store moved on from version {before['version']}")
     version = before["version"] + 1
-    _create_new(spark, f"{store}/snapshots/v{version:08d}.claim", json.dumps({"from": before["version"], "rewrite": n_rewrite}))
-    try:
-        chosen = broadcast_if_small(rewrite)
-        sources = []
-        if prints.join(rewrite, "part_id", "left_semi").take(1):
-            # a folder can't be read and overwritten in one job: the old content goes through the shared scratch folder
-            old = spark.read.parquet(f"{store}/data").withColumn("part_id", F.col("part_id").cast("long"))
-            sources.append(cut(old.join(chosen, "part_id", "left_semi").select(*STORED, "part_id"), "compact"))
-        if fresh is not None:
-            sources.append(fresh.where(good_copy(ext)).join(chosen, "part_id", "left_semi").select(*STORED, "part_id"))
-        if current_snapshot(spark, store)["version"] != before["version"] or _changed(spark, store, prints, rewrite):
-            raise SnapshotConflict(f"the store moved on from version {before['version']}")
-        if n_rewrite:
-            # copies of a record share its part, so this one shuffle serves the choice of the copy and the layout
-            whole = sources[0] if len(sources) == 1 else sources[0].unionByName(sources[1])
-            placed = latest_copy(whole.repartition(n_rewrite, "part_id"))
-            placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part_id").parquet(f"{store}/data")
-        if fresh is not None:
-            rest = fresh.where(good_copy(ext)).join(chosen, "part_id", "left_anti").select(*STORED, "part_id")
-            rest.write.mode("append").partitionBy("part_id").parquet(f"{store}/data")
-        report = CompactionReport(version, n_rewrite, held.count(), part_files(spark, store).count())
-        _create_new(spark, f"{store}/snapshots/v{version:08d}.json", json.dumps({"version": version, "parts": parts, "rewritten": n_rewrite, "files": report.files_after}))
-        return report
-    finally:
-        fs, claim = _fs(spark, f"{store}/snapshots/v{version:08d}.claim")
-        fs.delete(claim, False)
+    _create_new(spark, f"{store}/snapshots/v{version:08d}.json", json.dumps({**after, "version": version, "write": write}))
+    files = _state(spark, store, {"write": write}, "manifest", MANIFEST).agg(F.sum("files")).first()[0] or 0
+    return CompactionReport(version, n_rewrite, held_files, files)
+
+
+def _changed(spark: SparkSession, store: str, read: DataFrame) -> bool:
+    """Whether the files that were read aren't those of the manifest any more."""
+    found = _listed(spark, store).groupBy("part_id", "write").agg(F.count("*").alias("_f"), F.sum("bytes").alias("_b"))
+    return bool(read.join(found, ["part_id", "write"], "left").where(~(F.col("files").eqNullSafe(F.col("_f")) & F.col("bytes").eqNullSafe(F.col("_b")))).head(1))
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
-    """Every record of the store once, without ``part_id``."""
-    fs, hpath = _fs(spark, f"{store}/data/_SUCCESS")
-    if not fs.exists(hpath) or not part_files(spark, store).take(1):
-        return spark.createDataFrame([], "dir string, run_index long, file_id long, size_bytes long, modified_at timestamp_ntz, payload binary")
-    held = spark.read.parquet(f"{store}/data").withColumn("part_id", F.col("part_id").cast("long"))
-    return latest_copy(held).drop("part_id")
+    """Every record of the current snapshot once, without ``part_id``. Changes that are committed later don't show, until :func:`vacuum` drops what they replaced."""
+    live = _state(spark, store, current_snapshot(spark, store), "manifest", MANIFEST)
+    several = live.groupBy("part_id").agg(F.count("*").alias("_w")).where("_w > 1").select("part_id")
+    whole = _content(spark, store, live.join(several, "part_id", "left_anti"))
+    return whole.unionByName(latest_copy(_content(spark, store, live.join(several, "part_id", "left_semi")))).drop("part_id")
+
+
+def vacuum(spark: SparkSession, store: str, keep: int = 2, least_age_seconds: int = 86_400) -> int:
+    """Delete the files that none of the last ``keep`` snapshots names and that are older than ``least_age_seconds`` (writers may be at work on younger ones); gives their number."""
+    live = None
+    for v in _versions(spark, store)[-keep:]:
+        own = _state(spark, store, json.loads(_read_text(spark, f"{store}/snapshots/v{v:08d}.json")), "manifest", MANIFEST).select("part_id", "write")
+        live = own if live is None else live.unionByName(own)
+    if live is None:
+        return 0
+    gone = _listed(spark, store).where(F.col("at") <= F.current_timestamp() - F.make_interval(secs=F.lit(least_age_seconds)))
+    gone = cut(gone.join(live.distinct(), ["part_id", "write"], "left_anti").select("path"), "vacuum")
+
+    def delete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch["path"]:
+                place, inner = fs.FileSystem.from_uri("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path)
+                if place.get_file_info(inner).type != fs.FileType.NotFound:  # a task may run again
+                    place.delete_file(inner)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return gone.mapInPandas(delete, "n long").agg(F.sum("n")).first()[0] or 0

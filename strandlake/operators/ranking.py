@@ -45,6 +45,18 @@ def positions(df: DataFrame, keys: list[str], order: list[str], name: str) -> Da
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._b") + F.col("l._m") - F.col("r._m0")).alias(name))
 
 
+def totals_before(df: DataFrame, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """A column for each of ``values``: its sum over all rows before this one, by ``order``. Rows are sorted over range partitions, whose sums are laid end to end."""
+    placed = df.withColumns(values).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    placed = cut(placed, "totals").withColumn("_p", F.shiftright("_m", 33))
+    parts = placed.groupBy("_p").agg(*(F.sum(c).alias(c) for c in values))
+    before = Window.orderBy("_p")  # one row per partition
+    base = parts.select("_p", *((F.sum(c).over(before) - F.col(c)).alias(f"_0{c}") for c in values))
+    within = Window.partitionBy("_p").orderBy("_m")
+    sums = placed.withColumns({c: F.sum(c).over(within) - F.col(c) for c in values})
+    return sums.join(broadcast_if_small(base), "_p").withColumns({c: F.col(c) + F.col(f"_0{c}") for c in values}).select(*df.columns, *values)
+
+
 def walk(df: DataFrame, key: str, order: list[str | Column], columns: list[str], step: Step, schema: str) -> tuple[DataFrame, DataFrame]:
     """The rows with their place ``_m``, and what ``step`` gives (``schema``: whole numbers and strings) as it goes through each group in order.
 
