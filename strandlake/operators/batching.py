@@ -61,73 +61,52 @@ def not_done(index: DataFrame, done: DataFrame, key: str = "run_index") -> DataF
 
 
 def groups_of_four(lengths: np.ndarray, budget: int = RESIDUES_PER_BATCH, final: bool = True) -> list[tuple[int, int]]:
-    """Contiguous batches that grow by four sequences while they keep the budget.
+    """Contiguous batches of whole fours of sequences, as many as keep the budget, but for the last four.
 
-    A batch is closed when four more would break the budget or nothing is left: it then gives back its last four, or, if
-    it has just four, two of them and a third if still too long. The tail that is left at the end of the list is split
-    into its multiple of four and the rest. If more sequences follow (not ``final``), only the batches that are settled are given.
+    The four that breaks the budget, or the last one if all are kept, opens the next batch; if a batch has no other four, it takes two
+    sequences of it, or one if two are too long. Sequences beyond the last whole four, if all fours are kept, are a batch
+    of their own. If more sequences follow (not ``final``), only the batches that are settled are given.
     """
     n, begin, out = len(lengths), 0, []
-    upto = np.append(0, np.cumsum(lengths))
-    stop = 0
-    while begin < n and (final or stop + 4 <= n):
-        stop = min(stop + 4, n)
-        if upto[stop] - upto[begin] <= budget and (stop < n or not final):
-            continue
-        size = stop - begin
-        if size == 4:
-            stop -= 2
-            if upto[stop] - upto[begin] > budget:
-                stop -= 1
-        elif size % 4 == 0:
-            stop -= 4
-        else:
-            whole = begin + size // 4 * 4
-            if whole > begin:
-                out.append((begin, whole))
-            out.append((whole, n))
+    total = np.append(0, np.cumsum(lengths))
+    while begin < n:
+        fit = int(np.searchsorted(total, total[begin] + budget, side="right")) - 1
+        kept, (whole, odd) = (fit - begin) // 4, divmod(n - begin, 4)
+        if kept >= whole and not final:
             break
-        out.append((begin, stop))
-        begin = stop
+        if kept >= whole and odd:
+            ends = sorted({begin, begin + 4 * whole, n})
+            return out + list(zip(ends, ends[1:]))
+        size = 4 * min(kept, whole - 1) or (2 if total[begin + 2] - total[begin] <= budget else 1)
+        out.append((begin, begin + size))
+        begin += size
     return out
 
 
 def over_multiples(lengths: np.ndarray, budget: int = SLICE_RESIDUES) -> list[tuple[int, int]]:
-    """Contiguous slices cut where the running total passes the next multiple of the budget; no empty slice."""
-    if not len(lengths):
-        return []
-    total = np.append(0, np.cumsum(lengths))[:-1]
-    cuts = np.flatnonzero(np.diff(total // budget)) + 1
-    edges = [0, *cuts.tolist(), len(lengths)]
-    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+    """Contiguous slices; one opens with each sequence whose running total passes the next multiple of the budget, one multiple per sequence. No empty slice."""
+    return _runs(_opened(lengths, budget))
 
 
 def before_multiples(lengths: np.ndarray, budget: int = MULTIPLE_RESIDUES) -> list[tuple[int, int]]:
-    """Contiguous batches that end one before each sequence whose running total passes the next multiple of the budget; no empty batch."""
-    return _before_multiples(lengths, budget, None, True)[0]
+    """As :func:`over_multiples`, but each batch opens one sequence earlier. No empty batch."""
+    opened = _opened(lengths, budget)
+    return _runs(np.append(opened[1:], opened[-1:]))
+
 
+def _opened(lengths: np.ndarray, budget: int) -> np.ndarray:
+    """How many multiples count as passed up to each sequence: those that its total has passed, but no more than one further than the sequence before it.
 
-def _before_multiples(lengths: np.ndarray, budget: int, carry: tuple[int, int, int, int] | None, final: bool) -> tuple[list[tuple[int, int]], tuple[int, int, int, int]]:
-    """The batches that are settled, and what to go on with: the total and the position before the open batch, the limit, and the open batch's size."""
-    total, at, limit, seen = carry or (0, 0, budget, 0)
-    cuts = []
-    for i, t in enumerate((total + np.cumsum(lengths))[seen:].tolist(), seen):
-        if t > limit:
-            cuts.append(i - 1)
-            limit += budget
-    edges = [0, *(c for c in cuts if at + c > 0), len(lengths)]
-    spans = [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
-    begin = 0
-    if not final and spans:
-        begin, _ = spans.pop()
-    return spans, (total + int(np.sum(lengths[:begin])), at + begin, limit, len(lengths) - begin)
+    That is the position plus the least of "passed minus position" so far, which needs no walk.
+    """
+    at = np.arange(len(lengths))
+    passed = np.maximum(-(-np.cumsum(lengths) // budget) - 1, 0)
+    return at + np.minimum(np.minimum.accumulate(passed - at), 1) if len(at) else at
 
 
-#: Planners that go forward from row to row: the lengths since the last settled batch, what they carry, and whether nothing follows.
-_CARRIED = {
-    groups_of_four: lambda lengths, carry, final: (groups_of_four(lengths, final=final), None),
-    before_multiples: lambda lengths, carry, final: _before_multiples(lengths, MULTIPLE_RESIDUES, carry, final),
-}
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    edges = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
 
 def resume_points(checkpoints: DataFrame) -> DataFrame:
@@ -139,30 +118,32 @@ def resume_points(checkpoints: DataFrame) -> DataFrame:
 def plan_batches(df: DataFrame, planner: Callable[[np.ndarray], list[tuple[int, int]]], group: str = "job_id", order: str = "run_index", length: str = "seqlen", block: int = BLOCK) -> DataFrame:
     """``(group, block, batch_no, first, last, sequences, residues)``: the batches of one of this module's planners for each whole group in the order of ``order``.
 
-    A group of any size is shared among tasks. Slices are cut by running totals; the planners that go forward from row to row hand
-    their state and their open batch from one range partition to the next (:func:`walk`). ``block`` only numbers the batches by the
-    ``block`` positions in which they begin; the plan doesn't depend on it.
+    A group of any size is shared among tasks. Cuts at multiples follow from running totals and running minima over range
+    partitions; :func:`groups_of_four`, which goes forward from batch to batch, hands its open batch from one range partition to the
+    next (:func:`walk`). ``block`` only numbers the batches by the ``block`` positions in which they begin; the plan doesn't
+    depend on it. A null length counts as 0; a null group is a group.
     """
-    numbered = df.select(F.col(group).cast("long").alias("g"), F.col(order).cast("long").alias("o"), F.col(length).cast("long").alias("n"))
+    rows = df.select(F.col(group).cast("long").alias("g"), F.col(order).cast("long").alias("o"), F.coalesce(F.col(length), F.lit(0)).cast("long").alias("n"))
     if planner is over_multiples:
-        out = _slices(numbered)
-    elif planner in _CARRIED:
-        steps = _CARRIED[planner]
+        out = _at_multiples(rows, SLICE_RESIDUES, 0)
+    elif planner is before_multiples:
+        out = _at_multiples(rows, MULTIPLE_RESIDUES, 1)
+    elif planner is groups_of_four:
 
         def step(part: dict[str, np.ndarray], state: bytes | None, ends: bool) -> tuple[dict[str, np.ndarray], bytes]:
             o, n = (part[c].astype(np.int64, casting="safe") for c in "on")
-            carry, at, no = None, 0, 0
+            at, no = 0, 0
             if state is not None:
-                carry, at, no, held_o, held_n = pickle.loads(state)
+                at, no, held_o, held_n = pickle.loads(state)
                 o, n = np.append(held_o, o), np.append(held_n, n)
-            spans, carry = steps(n, carry, ends)
+            spans = groups_of_four(n, final=ends)
             total = np.append(0, np.cumsum(n))
             a, b = np.array(spans, np.int64).reshape(-1, 2).T
             out = {"k": np.repeat(part["_k"][:1], len(a)), "at": at + a, "batch_no": no + np.arange(len(a)), "first": o[a], "last": o[b - 1], "sequences": b - a, "residues": total[b] - total[a]}
             done = int(b[-1]) if len(b) else 0
-            return out, b"" if ends else pickle.dumps((carry, at + done, no + len(a), o[done:], n[done:]))
+            return out, b"" if ends else pickle.dumps((at + done, no + len(a), o[done:], n[done:]))
 
-        keyed = numbered.withColumn("k", F.coalesce(F.col("g").cast("string"), F.lit("")))
+        keyed = rows.withColumn("k", F.coalesce(F.col("g").cast("string"), F.lit("")))
         _, out = walk(keyed, "k", ["o"], ["o", "n"], step, "k string, at long, batch_no long, first long, last long, sequences long, residues long")
         out = out.withColumn("g", F.when(F.col("k") != "", F.col("k")).cast("long"))
     else:
@@ -171,19 +152,37 @@ def plan_batches(df: DataFrame, planner: Callable[[np.ndarray], list[tuple[int,
     return out.select(F.col("g").alias(group), F.floor(F.col("at") / block).alias("block"), *numbers)
 
 
-def _slices(rows: DataFrame) -> DataFrame:
-    """:func:`over_multiples` of each whole group ``g``: totals of range partitions laid end to end, and those within a partition."""
+def _at_multiples(rows: DataFrame, budget: int, earlier: int) -> DataFrame:
+    """Batches that open with each sequence (``earlier``: so many before it) at which :func:`_opened` rises, for each whole group ``g``."""
     placed = rows.repartitionByRange("g", "o").sortWithinPartitions("g", "o").withColumn("_m", F.monotonically_increasing_id())
-    placed = cut(placed, "slices").withColumn("_p", F.shiftright("_m", 33))
+    placed = cut(placed, "multiples").withColumn("_p", F.shiftright("_m", 33))
+    before = Window.partitionBy("g").orderBy("_p")  # one row per group and partition
+
+    def laid(df: DataFrame, base: DataFrame) -> DataFrame:
+        """Each row with what stands before its partition."""
+        joined = df.alias("l").join(broadcast_if_small(base).alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("g", "_p")])
+        return joined.select("l.*", *[F.col(f"r.{c}") for c in base.columns if c not in ("g", "_p")])
+
     parts = placed.groupBy("g", "_p").agg(F.sum("n").alias("_n"), F.count("*").alias("_c"))
-    before = Window.partitionBy("g").orderBy("_p")
-    base = parts.select("g", "_p", (F.sum("_n").over(before) - F.col("_n")).alias("_n0"), (F.sum("_c").over(before) - F.col("_c")).alias("_c0"))
-    within = Window.partitionBy("g", "_p").orderBy("_m")
-    sums = placed.withColumns({"_s": F.sum("n").over(within) - F.col("n"), "_i": F.row_number().over(within) - 1})
-    joined = sums.alias("l").join(broadcast_if_small(base).alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("g", "_p")])
-    at = joined.select("l.g", "o", "n", (F.col("_i") + F.col("_c0")).alias("at"), F.floor((F.col("_s") + F.col("_n0")) / SLICE_RESIDUES).alias("b"))
-    slices = at.groupBy("g", "b").agg(F.min("at").alias("at"), F.min("o").alias("first"), F.max("o").alias("last"), F.count("*").alias("sequences"), F.sum("n").alias("residues"))
-    return positions(slices, ["g"], ["b"], "batch_no")
+    base = parts.select("g", "_p", (F.sum("_n").over(before) - F.col("_n")).alias("_n0"), (F.sum("_c").over(before) - F.col("_c")).alias("_c0"), F.sum("_c").over(Window.partitionBy("g")).alias("_all"))
+    within = Window.partitionBy("g", "_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.withColumns({"_s": F.sum("n").over(within), "_i": F.row_number().over(Window.partitionBy("g", "_p").orderBy("_m")) - 1})
+    at = laid(own, base).withColumns({"_s": F.col("_s") + F.col("_n0"), "at": F.col("_i") + F.col("_c0")})
+    at = cut(at.withColumn("_d", F.greatest(F.ceil(F.col("_s") / budget) - 1, F.lit(0)) - F.col("at")).select("g", "_p", "_m", "o", "n", "_s", "at", "_d", "_all"), "multiples")
+    lows = at.groupBy("g", "_p").agg(F.min("_d").alias("_low"))
+    lows = lows.select("g", "_p", F.coalesce(F.min("_low").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1)).alias("_low0"))
+    lowest = F.least(F.min("_d").over(within), F.col("_low0"), F.lit(1))
+    opened = laid(at, lows).withColumn("_b", F.col("at") + lowest)
+    ends = opened.groupBy("g", "_b").agg(F.min("at").alias("_x"), F.max("at").alias("_y"), F.max("_all").alias("_all"))
+    if earlier:
+        last = F.col("_all") - 1
+        ends = ends.select("g", "_b", F.greatest(F.col("_x") - earlier, F.lit(0)).alias("_x"), F.when(F.col("_y") == last, last).otherwise(F.col("_y") - earlier).alias("_y")).where("_y >= 0")
+    found = ends.drop("_all").alias("e")
+    for end, columns in (("_x", {"first": "o", "_sx": "_s", "_nx": "n"}), ("_y", {"last": "o", "_sy": "_s"})):
+        side = at.select("g", "at", *[F.col(c).alias(k) for k, c in columns.items()]).alias("s")
+        found = found.join(side, F.col("e.g").eqNullSafe(F.col("s.g")) & (F.col(f"e.{end}") == F.col("s.at"))).select("e.*", *columns).alias("e")
+    out = found.select("g", "_b", F.col("_x").alias("at"), "first", "last", (F.col("_y") - F.col("_x") + 1).alias("sequences"), (F.col("_sy") - F.col("_sx") + F.col("_nx")).alias("residues"))
+    return positions(out, ["g"], ["_b"], "batch_no")
 
 
 def split_by_length(df: DataFrame, chunk: int, max_length: int, length: str = "seqlen", order: str = "run_index") -> DataFrame:

@@ -100,6 +100,13 @@ DRAWN = """drawn AS (SELECT hit_id, qid, score, qstart, qend FROM (SELECT *, row
 KEYS = "queryid, dbid, pathid, spanid, span_start, span_end, y1, x1, y2, x2, round(score, 6) AS score, len"
 
 
+#: A sequence opens a slice if the total up to it passes the next multiple; none passes more than one.
+_MULTIPLES = INDEX + """,
+        t AS (SELECT job_id, run_index, seqlen, row_number() OVER w - 1 AS spot, sum(seqlen) OVER w AS upto FROM index_rows WINDOW w AS (PARTITION BY job_id ORDER BY run_index)),
+        p AS (SELECT *, greatest(CAST(ceil(upto / {budget}.0) AS BIGINT) - 1, 0) AS passed FROM t),
+        opened AS (SELECT *, spot + least(1, min(passed - spot) OVER (PARTITION BY job_id ORDER BY spot)) AS opens FROM p)"""
+
+
 def _with(steps: str, final: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{steps.strip()}\n{final}"
 
@@ -228,9 +235,25 @@ SQL: dict[str, str] = {
         FROM index_rows WHERE seq IS NOT NULL""",
     "rank_shares": f"""WITH {INDEX}, t AS (SELECT greatest(1, (max(run_index) // 32 + 1) // 4) AS share FROM index_rows)
         SELECT run_index, run_index // 32 AS batch_id, least(run_index // 32 // share, 3) AS rank FROM index_rows, t""",
-    "slice_batches": f"""WITH {INDEX},
-        t AS (SELECT job_id, run_index, seqlen, sum(seqlen) OVER (PARTITION BY job_id ORDER BY run_index) - seqlen AS upto FROM index_rows)
-        SELECT job_id, min(run_index) AS first, max(run_index) AS last, count(*) AS sequences, CAST(sum(seqlen) AS BIGINT) AS residues FROM t GROUP BY job_id, upto // 7680""",
+    "slice_batches": _with(_MULTIPLES.format(budget=7680), """
+        SELECT job_id, min(run_index) AS first, max(run_index) AS last, count(*) AS sequences, CAST(sum(seqlen) AS BIGINT) AS residues FROM opened GROUP BY job_id, opens"""),
+    "multiple_batches": _with(_MULTIPLES.format(budget=4000) + """,
+        earlier AS (SELECT job_id, run_index, seqlen, spot, lead(opens, 1, opens) OVER (PARTITION BY job_id ORDER BY spot) AS opens FROM opened)""", """
+        SELECT job_id, min(spot) // 50000 AS block, CAST(row_number() OVER (PARTITION BY job_id ORDER BY opens) - 1 AS INT) AS batch_no, min(run_index) AS first, max(run_index) AS last,
+          CAST(count(*) AS INT) AS sequences, CAST(sum(seqlen) AS BIGINT) AS residues FROM earlier GROUP BY job_id, opens"""),
+    "adaptive_batches": f"""WITH RECURSIVE {INDEX},
+        t AS MATERIALIZED (SELECT job_id, run_index, seqlen, row_number() OVER w - 1 AS spot, sum(seqlen) OVER w AS upto, count(*) OVER (PARTITION BY job_id) AS n FROM index_rows WINDOW w AS (PARTITION BY job_id ORDER BY run_index)),
+        fits AS (SELECT b.job_id, b.spot, b.n, b.seqlen AS one, (SELECT count(*) FROM t e WHERE e.job_id = b.job_id AND e.spot >= b.spot AND e.upto <= b.upto - b.seqlen + 6000) // 4 AS kept, (b.n - b.spot) // 4 AS whole, (b.n - b.spot) % 4 AS odd,
+            coalesce((SELECT max(e.seqlen) FROM t e WHERE e.job_id = b.job_id AND e.spot = b.spot + 1), 0) AS two FROM t b),
+        sizes AS MATERIALIZED (SELECT job_id, spot, n, CASE WHEN kept >= whole AND odd > 0 THEN CASE WHEN whole > 0 THEN 4 * whole ELSE odd END
+            WHEN least(kept, whole - 1) > 0 THEN 4 * least(kept, whole - 1) WHEN one + two <= 6000 THEN 2 ELSE 1 END AS size,
+            kept >= whole AND odd > 0 AS tail FROM fits),
+        walk AS (
+          SELECT job_id, spot, n, size, tail, 0 AS batch_no FROM sizes WHERE spot = 0
+          UNION ALL
+          SELECT s.job_id, s.spot, s.n, CASE WHEN w.tail THEN w.n - s.spot ELSE s.size END, s.tail OR w.tail, w.batch_no + 1 FROM walk w JOIN sizes s ON s.job_id = w.job_id AND s.spot = w.spot + w.size)
+        SELECT w.job_id, w.spot // 50000 AS block, w.batch_no, min(t.run_index) AS first, max(t.run_index) AS last, CAST(w.size AS INT) AS sequences, CAST(sum(t.seqlen) AS BIGINT) AS residues
+        FROM walk w JOIN t ON t.job_id = w.job_id AND t.spot >= w.spot AND t.spot < w.spot + w.size GROUP BY w.job_id, w.spot, w.batch_no, w.size""",
     "resume_points": """
         SELECT job_id, rank_id, last_batch FROM (SELECT *, row_number() OVER (PARTITION BY job_id, rank_id ORDER BY saved_at DESC, last_batch DESC NULLS LAST) AS n FROM emb_checkpoint WHERE job_id IS NOT NULL) t WHERE n = 1""",
     "resume_rows": f"""WITH {INDEX} SELECT run_index, job_id, seqlen FROM index_rows i

@@ -121,17 +121,57 @@ def test_every_hit_is_drawn(spark, data):
     assert rows.groupBy("qid").count().where("count > 25").count() and QUERIES["plot_lanes"](spark, data).count() == rows.count()
 
 
+def passing_multiples(lengths, budget):
+    """Positions that open a slice: row by row, one multiple each."""
+    total, limit, out = 0, budget, []
+    for k, n in enumerate(lengths):
+        total += n
+        if total > limit:
+            out.append(k)
+            limit += budget
+    return out
+
+
+def spans_of(opens, n):
+    edges = sorted({0, n, *(k for k in opens if 0 < k < n)})
+    return list(zip(edges, edges[1:]))
+
+
+def fours_by_hand(lengths, budget):
+    """Fours are added until one breaks the budget or none is left; the last one is given back."""
+    out, begin, n = [], 0, len(lengths)
+    while begin < n:
+        fours = [lengths[k : k + 4] for k in range(begin, n, 4)]
+        taken = []
+        for four in fours:
+            taken.append(four)
+            if sum(map(sum, taken)) > budget:
+                break
+        size = sum(map(len, taken))
+        if len(taken[-1]) < 4:
+            if size > 4:
+                out.append((begin, begin + size - len(taken[-1])))
+            return [*out, (n - len(taken[-1]), n)]
+        size = size - 4 if size > 4 else 2 if sum(taken[0][:2]) <= budget else 1
+        out.append((begin, begin + size))
+        begin += size
+    return out
+
+
 def test_planners():
     rng = random.Random(0)
+    assert over_multiples([5, 5, 5], 7) == [(0, 1), (1, 2), (2, 3)]
     assert groups_of_four([10] * 4) == [(0, 2), (2, 4)]
     assert groups_of_four([10] * 8) == [(0, 4), (4, 6), (6, 8)]
-    for _ in range(200):
-        lengths = [rng.randint(50, 999) for _ in range(rng.randint(1, 60))]
-        spans = groups_of_four(lengths, 6000)
+    for _ in range(400):
+        lengths = [rng.choice([0, rng.randint(50, 999), rng.randint(50, 999)]) for _ in range(rng.randint(1, 60))]
+        budget = rng.choice([999, 1500, 3000, 6000])
+        spans = groups_of_four(lengths, budget)
+        assert spans == fours_by_hand(lengths, budget)
         assert [b for _, b in spans[:-1]] == [a for a, _ in spans[1:]] and spans[0][0] == 0 and spans[-1][1] == len(lengths)
-        assert all(sum(lengths[a:b]) <= 6000 and ((b - a) % 4 == 0 or b - a < 4) for a, b in spans)
-        slices = over_multiples(lengths, 3000)
-        assert slices[0][0] == 0 and slices[-1][1] == len(lengths) and all(b > a for a, b in slices)
+        opens = passing_multiples(lengths, budget)
+        assert over_multiples(lengths, budget) == spans_of(opens, len(lengths))
+        assert before_multiples(lengths, budget) == spans_of([k - 1 for k in opens], len(lengths))
 
 
 def test_planned_blocks_cover_a_group(spark):
