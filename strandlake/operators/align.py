@@ -5,7 +5,7 @@ The similarity of a pair is one matrix product; the score matrix goes row by row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ from strandlake.params import STOP_SCORE, AlignParams
 from strandlake.schema import HIT
 from strandlake.session import small_enough
 
+#: Rows that a task holds before it hands them over.
+OUT_ROWS = 200_000
 COLUMNS = ["queryid", "dbid", "pathid", "spanid", "span_start", "span_end", "indices", "score", "len", "mode", "y1", "x1"]
 
 
@@ -31,6 +33,10 @@ def enhanced(a: np.ndarray) -> np.ndarray:
         return ((a - a.mean(0)) / a.std(0) + (a - a.mean(1, keepdims=True)) / a.std(1, keepdims=True)) / 2
 
 
+def normal(a: np.ndarray) -> np.ndarray:
+    return (a - a.mean()) / (a.std() + 1e-3)
+
+
 def score_local(a: np.ndarray) -> np.ndarray:
     """Best run along each diagonal, with a zero row and column in front."""
     h = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
@@ -143,7 +149,7 @@ def align(query: np.ndarray, target: np.ndarray, params: AlignParams) -> list[tu
     a = similarity_map(query, target)
     if params.enhance:
         a = enhanced(a)
-    b = (a - a.mean()) / (a.std() + 1e-3) if params.normalise else a
+    b = normal(a) if params.normalise else a
     h = score_local(b) if params.mode == "local" else score_global(b, params.gap)
     starts = borders(h, params.min_span, params.bfactor) if params.mode == "local" else np.array([[h.shape[0] - 1, h.shape[1] - 1]])
     hits = path_hits(a, tracebacks(h, starts, params.gap), params)
@@ -206,41 +212,103 @@ def align_pairs(pairs: DataFrame, queries: DataFrame, targets: DataFrame, params
     return spread(work, "queryid", "dbid").mapInPandas(run_pairs, HIT)
 
 
-def path_cells(pairs: DataFrame, queries: DataFrame, targets: DataFrame, params: AlignParams) -> DataFrame:
-    """``(queryid, dbid, pathid, k, y, x, c)``: every cell of every traceback, from its start on, in residue coordinates."""
+def by_matrix(pairs: DataFrame, queries: DataFrame, targets: DataFrame, made: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``(queryid, dbid)`` and what ``made`` gives of each pair's similarity map: the map stays in the task that computes it, only the rows of ``schema`` leave it."""
     q = to_matrices(queries).select(F.col("run_index").alias("queryid"), F.col("n").alias("nq"), F.col("emb").alias("a"))
     t = to_matrices(targets).select(F.col("run_index").alias("dbid"), F.col("n").alias("nt"), F.col("emb").alias("b"))
     work = pairs.select("queryid", "dbid").distinct().join(q, "queryid").join(t, "dbid").select("queryid", "dbid", "nq", "a", "nt", "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows, held = [], 0
             for queryid, dbid, nq, a, nt, b in batch.itertuples(index=False):
-                m = similarity_map(matrix(a, nq), matrix(b, nt))
-                h = score_local(m) if params.mode == "local" else score_global(m, params.gap)
-                starts = borders(h, params.min_span, params.bfactor) if params.mode == "local" else np.array([[h.shape[0] - 1, h.shape[1] - 1]])
-                for pathid, path in enumerate(tracebacks(h, starts, params.gap)):
-                    y, x = path[::-1, 0] - 1, path[::-1, 1] - 1
-                    inside = (y >= 0) & (x >= 0)
-                    y, x = y[inside], x[inside]
-                    yield pd.DataFrame({"queryid": queryid, "dbid": dbid, "pathid": pathid, "k": np.arange(len(y)), "y": y, "x": x, "c": m[y, x]})
+                part = made(similarity_map(matrix(a, nq), matrix(b, nt)))
+                n = len(next(iter(part.values())))
+                rows.append({"queryid": np.full(n, queryid), "dbid": np.full(n, dbid), **part})
+                held += n
+                if held >= OUT_ROWS:
+                    yield _stacked(rows)
+                    rows, held = [], 0
+            if held:
+                yield _stacked(rows)
+
+    return spread(work, "queryid", "dbid").mapInPandas(run, f"queryid long, dbid long, {schema}")
+
+
+def _stacked(rows: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.concatenate([r[c] for r in rows]) for c in rows[0]})
+
+
+def _cells(m: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    y, x = np.indices(m.shape, np.int32)
+    return {"y": y.ravel(), "x": x.ravel(), name: m.ravel()}
 
-    return spread(work, "queryid", "dbid").mapInPandas(run, "queryid long, dbid long, pathid int, k int, y int, x int, c double")
+
+def path_cells(pairs: DataFrame, queries: DataFrame, targets: DataFrame, params: AlignParams) -> DataFrame:
+    """``(queryid, dbid, pathid, k, y, x, c)``: every cell of every traceback, from its start on, in residue coordinates."""
+
+    def made(m: np.ndarray) -> dict[str, np.ndarray]:
+        h = score_local(m) if params.mode == "local" else score_global(m, params.gap)
+        starts = borders(h, params.min_span, params.bfactor) if params.mode == "local" else np.array([[h.shape[0] - 1, h.shape[1] - 1]])
+        paths = [p[::-1] - 1 for p in tracebacks(h, starts, params.gap)]
+        cells = [p[(p >= 0).all(axis=1)] for p in paths]
+        size = [len(p) for p in cells]
+        at = np.concatenate([*cells, np.zeros((0, 2), np.int64)]).astype(np.int64)
+        return {"pathid": np.repeat(np.arange(len(cells), dtype=np.int32), size), "k": np.concatenate([*(np.arange(n) for n in size), np.zeros(0)]).astype(np.int32), "y": at[:, 0], "x": at[:, 1], "c": m[at[:, 0], at[:, 1]]}
+
+    return by_matrix(pairs, queries, targets, made, "pathid int, k int, y int, x int, c double")
 
 
 def similarity_cells(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
     """``(queryid, dbid, y, x, c)`` as :func:`strandlake.operators.score.residue_pairs`, by one matrix product per pair."""
-    q = to_matrices(queries).select(F.col("run_index").alias("queryid"), F.col("n").alias("nq"), F.col("emb").alias("a"))
-    t = to_matrices(targets).select(F.col("run_index").alias("dbid"), F.col("n").alias("nt"), F.col("emb").alias("b"))
-    work = pairs.select("queryid", "dbid").distinct().join(q, "queryid").join(t, "dbid").select("queryid", "dbid", "nq", "a", "nt", "b")
+    return by_matrix(pairs, queries, targets, lambda m: _cells(m, "c"), "y int, x int, c double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for queryid, dbid, nq, a, nt, b in batch.itertuples(index=False):
-                m = similarity_map(matrix(a, nq), matrix(b, nt))
-                y, x = np.indices(m.shape, np.int32)
-                yield pd.DataFrame({"queryid": queryid, "dbid": dbid, "y": y.ravel(), "x": x.ravel(), "c": m.ravel()})
 
-    return spread(work, "queryid", "dbid").mapInPandas(run, "queryid long, dbid long, y int, x int, c double")
+def enhanced_cells(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """As :func:`strandlake.operators.score.signal_enhancement` of all cells; none is shuffled."""
+    return by_matrix(pairs, queries, targets, lambda m: _cells(enhanced(m), "c"), "y int, x int, c double")
+
+
+def normal_cells(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """As :func:`strandlake.operators.score.global_znorm` of all cells; none is shuffled."""
+    return by_matrix(pairs, queries, targets, lambda m: _cells(normal(m), "c"), "y int, x int, c double")
+
+
+def score_cells(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """As :func:`strandlake.operators.score.score_matrix`, ``(queryid, dbid, y, x, h)``; no cell is shuffled."""
+    return by_matrix(pairs, queries, targets, lambda m: _cells(score_local(m)[1:, 1:], "h"), "y int, x int, h double")
+
+
+def best_cells(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """As :func:`strandlake.operators.score.best_cell`: one row leaves the task for each pair."""
+
+    def made(m: np.ndarray) -> dict[str, np.ndarray]:
+        h = score_local(m)[1:, 1:]
+        y, x = np.unravel_index([h.argmax()], h.shape)  # the first of several by y, then x
+        return {"max_h": h[y, x], "y": y, "x": x}
+
+    return by_matrix(pairs, queries, targets, made, "max_h double, y int, x int")
+
+
+def best_diagonals(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """As :func:`strandlake.operators.hits.best_diagonal`."""
+
+    def made(m: np.ndarray) -> dict[str, np.ndarray]:
+        y, x = np.indices(m.shape)
+        return {"best": np.bincount((y - x + m.shape[1] - 1).ravel(), weights=m.ravel()).max(keepdims=True)}
+
+    return by_matrix(pairs, queries, targets, made, "best double")
+
+
+def start_cells(pairs: DataFrame, queries: DataFrame, targets: DataFrame, cutoff: int, factor: int) -> DataFrame:
+    """As :func:`strandlake.operators.score.border_starts`, ``(queryid, dbid, pathid, my, mx, h)``."""
+
+    def made(m: np.ndarray) -> dict[str, np.ndarray]:
+        h = score_local(m)
+        at = borders(h, cutoff, factor)
+        return {"pathid": np.arange(len(at), dtype=np.int32), "my": at[:, 0], "mx": at[:, 1], "h": h[at[:, 0], at[:, 1]]}
+
+    return by_matrix(pairs, queries, targets, made, "pathid int, my int, mx int, h double")
 
 
 def path_mask(paths: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from strandlake.functions.vectors import norm, pool
 from strandlake.operators.matrices import matrix, to_matrices, unit_rows
 from strandlake.operators.ranking import spread
 from strandlake.params import POOL_WIDTH, ScreenParams
-from strandlake.session import small_enough
+from strandlake.session import broadcast_if_small, cut, cut_counted, small_enough
 
 
 def pooled(residues: DataFrame, width: int = POOL_WIDTH) -> DataFrame:
@@ -79,30 +79,36 @@ def chunk_scores(queries: DataFrame, targets: DataFrame, kernel: int, stride: in
 
 
 def quantile_by_query(scores: DataFrame, quantile: float, bins: int = 4096) -> DataFrame:
-    """``(queryid, threshold)``: the exact quantile (linear interpolation) of each query's scores.
+    """``(queryid, threshold)``: the exact quantile (linear interpolation) of each query's scores; null and NaN don't count.
 
-    The scores are counted in bins first; only the bins that hold the wanted ranks are sorted. So a query may have any
-    number of targets: no task holds them all.
+    Scores are never sorted. The two ranks that the quantile lies between are looked for in ``bins`` equal bins between the least
+    and the greatest score, then in the bin that holds them, and so on, until a bin holds one value only. Each round
+    counts by bin before anything is shuffled, so a query may have any number of targets, ties and outliers.
     """
-    span = scores.groupBy("queryid").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.count("score").alias("_n"))
-    at = (F.col("_n") - 1) * F.lit(quantile)
-    span = span.withColumns({"_k": F.floor(at), "_f": at - F.floor(at)})
-    width = F.col("_hi") - F.col("_lo")
-    bin_ = F.when(width > 0, F.least(F.floor((F.col("score") - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(0)
-    binned = scores.where("score is not null").join(span, "queryid").withColumn("_bin", bin_)
-    counts = binned.groupBy("queryid", "_bin").agg(F.count("*").alias("_c"), F.first("_k").alias("_k"))
-    before = F.sum("_c").over(Window.partitionBy("queryid").orderBy("_bin")) - F.col("_c")
-    wanted = counts.withColumn("_before", before).where((F.col("_before") <= F.col("_k") + 1) & (F.col("_before") + F.col("_c") > F.col("_k")))
-    ranked = binned.join(wanted.select("queryid", "_bin", "_before"), ["queryid", "_bin"])
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("queryid", "_bin").orderBy("score")) - 1
-    picked = ranked.withColumn("_at", place).where((F.col("_at") == F.col("_k")) | (F.col("_at") == F.col("_k") + 1))
-    ends = picked.groupBy("queryid").agg(F.min_by("score", "_at").alias("_a"), F.max_by("score", "_at").alias("_b"), F.first("_f").alias("_f"))
+    known = scores.where("score is not null and not isnan(score)").select("queryid", "score")
+    span = known.groupBy("queryid").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count("*").alias("n"))
+    at = (F.col("n") - 1) * F.lit(quantile)
+    rank = F.explode(F.array(F.floor(at), F.least(F.floor(at) + 1, F.col("n") - 1)))
+    open_rows = F.count_if(F.col("lo") < F.col("hi"))
+    span, now = cut_counted(span.select("queryid", "lo", "hi", F.lit(0).cast("long").alias("below"), (at - F.floor(at)).alias("share"), rank.alias("rank")).distinct(), "ranks", open=open_rows)
+    done = span.where("lo >= hi or lo is null")
+    while now["open"]:
+        asked = span.where("lo < hi")
+        held = known.join(broadcast_if_small(asked), "queryid").where("score between lo and hi")
+        bin_ = F.least(F.floor((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+        counted = held.withColumn("_bin", bin_).groupBy("queryid", "rank", "share", "below", "_bin").agg(F.count("*").alias("_c"), F.min("score").alias("lo"), F.max("score").alias("hi"))
+        before = F.col("below") + F.sum("_c").over(Window.partitionBy("queryid", "rank").orderBy("_bin")) - F.col("_c")
+        found = counted.withColumn("below", before).where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("_c")))
+        span, now = cut_counted(found.select("queryid", "lo", "hi", "below", "share", "rank"), "ranks", open=open_rows)
+        done = done.unionByName(span.where("lo >= hi"))
+    ends = done.groupBy("queryid").agg(F.min_by("lo", "rank").alias("_a"), F.max_by("lo", "rank").alias("_b"), F.first("share").alias("_f"))
     return ends.select("queryid", (F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))).alias("threshold"))
 
 
 def keep_quantile(scores: DataFrame, quantile: float) -> DataFrame:
-    """The targets of each query at or above the exact quantile of its scores; ties at it stay."""
-    return scores.join(quantile_by_query(scores, quantile), "queryid").where("score >= threshold").drop("threshold")
+    """The targets of each query at or above the exact quantile of its scores; ties at it stay. The scores are computed once and written."""
+    scores = cut(scores, "scores")
+    return scores.join(broadcast_if_small(quantile_by_query(scores, quantile)), "queryid").where("score >= threshold").drop("threshold")
 
 
 def whole_sequence_screen(queries: DataFrame, targets: DataFrame, quantile: float = 0.9, query_block: int = 20_000) -> DataFrame:

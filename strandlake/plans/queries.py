@@ -39,9 +39,9 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("seqlen", sequences.sequence_length(F.col("seqlens"), F.col("seq")))
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _matrices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     fx = fixture(spark, sf_dir)
-    return align.similarity_cells(fx.pairs, fx.queries, fx.targets)
+    return fx.pairs, fx.queries, fx.targets
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,37 +76,32 @@ def path_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def signal_enhancement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.signal_enhancement(_cells(spark, sf_dir)).withColumn("c", F.round("c", 5))
+    return align.enhanced_cells(*_matrices(spark, sf_dir)).withColumn("c", F.round("c", 5))
 
 
 @query
 def global_znorm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.global_znorm(_cells(spark, sf_dir)).withColumn("c", F.round("c", 5))
+    return align.normal_cells(*_matrices(spark, sf_dir)).withColumn("c", F.round("c", 5))
 
 
 @query
 def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.score_matrix(_cells(spark, sf_dir)).select("queryid", "dbid", "y", "x", F.round("h", 5).alias("h"))
+    return align.score_cells(*_matrices(spark, sf_dir)).select("queryid", "dbid", "y", "x", F.round("h", 5).alias("h"))
 
 
 @query
 def best_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.best_cell(score.score_matrix(_cells(spark, sf_dir))).withColumn("max_h", F.round("max_h", 5))
+    return align.best_cells(*_matrices(spark, sf_dir)).withColumn("max_h", F.round("max_h", 5))
 
 
 @query
 def best_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits.best_diagonal(_cells(spark, sf_dir)).withColumn("best", F.round("best", 5))
+    return align.best_diagonals(*_matrices(spark, sf_dir)).withColumn("best", F.round("best", 5))
 
 
 @query
 def border_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx = fixture(spark, sf_dir)
-    scored = score.score_matrix(align.similarity_cells(fx.pairs, fx.queries, fx.targets))
-    q = fx.queries.groupBy(F.col("run_index").alias("queryid")).agg(F.count("*").cast("int").alias("nq"))
-    t = fx.targets.groupBy(F.col("run_index").alias("dbid")).agg(F.count("*").cast("int").alias("nt"))
-    lengths = fx.pairs.join(q, "queryid").join(t, "dbid")
-    return score.border_starts(scored, lengths, PARAMS.min_span, PARAMS.bfactor).withColumn("h", F.round("h", 5))
+    return align.start_cells(*_matrices(spark, sf_dir), PARAMS.min_span, PARAMS.bfactor).withColumn("h", F.round("h", 5))
 
 
 @query

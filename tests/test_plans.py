@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.functions.udfs import register
-from strandlake.operators import align, hits, output, screen
+from strandlake.operators import align, hits, output, score, screen
 from strandlake.params import AlignParams, ScreenParams
 from strandlake.plans.fixtures import fixture
 from strandlake.plans.search import search
@@ -105,3 +105,40 @@ def test_residue_dimension_pool(spark):
     v = [float(k) for k in range(35)]
     got = spark.createDataFrame([(v,)], "v array<double>").select(pool(F.col("v")).alias("p")).first().p
     assert got == [sum(v[:16]) / 16, sum(v[16:32]) / 16]
+
+
+def test_kernels_agree_with_the_relational_plans(fx):
+    """The same cells, scores and starts, computed by joins and windows and by matrices."""
+    m = fx.pairs, fx.queries, fx.targets
+    cells = align.similarity_cells(*m)
+    scored = score.score_matrix(cells)
+    q = fx.queries.groupBy(F.col("run_index").alias("queryid")).agg(F.count("*").cast("int").alias("nq"))
+    t = fx.targets.groupBy(F.col("run_index").alias("dbid")).agg(F.count("*").cast("int").alias("nt"))
+    lengths = fx.pairs.join(q, "queryid").join(t, "dbid")
+    both = [
+        (score.residue_pairs(*m), cells), (score.signal_enhancement(cells), align.enhanced_cells(*m)), (score.global_znorm(cells), align.normal_cells(*m)), (scored.drop("c"), align.score_cells(*m)),
+        (score.best_cell(scored), align.best_cells(*m)), (hits.best_diagonal(cells), align.best_diagonals(*m)), (score.border_starts(scored, lengths, 3, 2), align.start_cells(*m, 3, 2)),
+    ]
+    for a, b in both:
+        columns = sorted(a.columns)
+        assert columns == sorted(b.columns)
+        keys = [c for c in columns if dict(a.dtypes)[c] != "double"]
+        x, y = (d.select(*columns).toPandas().sort_values(keys, ignore_index=True) for d in (a, b))
+        assert len(x) == len(y) and len(x) and (x[keys].to_numpy() == y[keys].to_numpy()).all()
+        assert all(np.allclose(x[c], y[c]) for c in columns if c not in keys)
+
+
+def test_quantile_with_outliers_and_ties(spark):
+    """All scores but one in one bin, again and again; nulls and NaN."""
+    values = [1e300, *(1.0 + 10.0**-k for k in range(16)), *[1.0] * 500, *np.linspace(0, 1e-9, 300).tolist()]
+    rows = [(1, v) for v in values] + [(1, None), (1, float("nan")), (2, float("nan")), (3, 5.0)]
+    df = spark.createDataFrame(rows, "queryid long, score double")
+    for share in (0.0, 0.25, 0.5, 0.99, 1.0):
+        got = dict(screen.quantile_by_query(df, share, bins=8).collect())
+        assert got.keys() == {1, 3} and got[3] == 5.0 and abs(got[1] - np.quantile(values, share)) <= 1e-12 * abs(got[1])
+
+
+def test_scores_are_computed_once(fx):
+    """What is kept is read from the written scores: the plan has no kernel."""
+    kept = screen.keep_quantile(screen.chunk_scores(screen.pooled(fx.queries), screen.pooled(fx.targets), 10, 5), 0.7)
+    assert "MapInPandas" not in kept._jdf.queryExecution().toString() and kept.count()
