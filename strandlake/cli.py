@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import argparse
-from collections.abc import Sequence
+import importlib
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators.batching import prepare_sequences, split_by_length
-from strandlake.operators.embed import embed
+from strandlake.operators.embed import Embedder, HashEmbedder, embed
 from strandlake.operators.screen import pooled, screen, screen_json
-from strandlake.operators.tools import merge_chains, pack_lanes, plot_rows, report_lines, top_hits
+from strandlake.operators.tools import REPORT_TITLE, merge_chains, pack_lanes, plot_rows, report_lines, top_hits
 from strandlake.params import AlignParams, ScreenParams
 from strandlake.plans.search import search
 from strandlake.session import build_session
@@ -19,6 +20,28 @@ from strandlake.sources.sequences import is_index_valid, read_index, store_files
 from strandlake.sources.tables import read_hits, read_residues, write_hits, write_json_lines, write_report, write_residues
 
 
+def within(kind: type, low: float, high: float):
+    """Type of an argument that is at least ``low`` and below ``high``."""
+
+    def read(text: str):
+        value = kind(text)
+        if not low <= value < high:
+            raise argparse.ArgumentTypeError(f"must be at least {low} and below {high}")
+        return value
+
+    return read
+
+
+def embedder(name: str) -> Callable[[], Embedder]:
+    """A maker of embedders: ``hash``, the stand-in, or ``module:callable``, which Python can import on the driver and the workers."""
+    if name == "hash":
+        return HashEmbedder
+    module, _, made = name.partition(":")
+    if not made:
+        raise argparse.ArgumentTypeError("must be 'hash' or 'module:callable'")
+    return getattr(importlib.import_module(module), made)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="strandlake")
     sub = top.add_subparsers(dest="command", required=True)
@@ -26,10 +49,15 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("db"), s.add_argument("query"), s.add_argument("output")
     s.add_argument("--separate", action="store_true"), s.add_argument("--raw", action="store_true"), s.add_argument("--enh", action="store_true")
     s.add_argument("--reduce-duplicates", action="store_true"), s.add_argument("--only-scan", action="store_true"), s.add_argument("--global-aln", action="store_true")
-    for name, kind, value in (("cpc", float, 70), ("cpc-kernel-size", int, 30), ("cpc-stride", int, 10), ("alignment-cutoff", float, 0.3), ("win", int, 15), ("span", int, 25), ("gap-ext", float, 0.5), ("bfactor", int, 2), ("sigma-factor", float, 2.0)):
+    positive = within(int, 1, float("inf"))
+    for name, kind, value in (
+        ("cpc", within(float, 0, 100), 70.0), ("cpc-kernel-size", positive, 30), ("cpc-stride", positive, 10), ("alignment-cutoff", within(float, 0, 1), 0.3), ("win", within(int, 1, 50), 15),
+        ("span", positive, 25), ("gap-ext", within(float, 0, float("inf")), 0.5), ("bfactor", positive, 2), ("sigma-factor", float, 2.0),
+    ):
         s.add_argument(f"--{name}", type=kind, default=value)
     e = sub.add_parser("embed", help="embed an index; done sequences are skipped, so it may be repeated")
-    e.add_argument("input"), e.add_argument("output"), e.add_argument("--cname", default="sequence"), e.add_argument("--truncate", type=int, default=1000)
+    e.add_argument("input"), e.add_argument("output"), e.add_argument("--cname", default="sequence"), e.add_argument("--truncate", type=positive, default=1000)
+    e.add_argument("--batch-size", type=positive, default=32), e.add_argument("--embedder", type=embedder, default="hash")
     m = sub.add_parser("merge", help="merge chains of hits and keep the best")
     m.add_argument("csv"), m.add_argument("new_csv"), m.add_argument("--score", type=float), m.add_argument("--max-hits", type=int, default=0), m.add_argument("--skip-merge", action="store_true")
     r = sub.add_parser("report", help="text report of hits")
@@ -46,6 +74,8 @@ def parser() -> argparse.ArgumentParser:
 def run_search(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.span < a.win and not a.only_scan:
         raise SystemExit("--span must be at least --win")
+    if a.reduce_duplicates and a.query != a.db:
+        raise SystemExit("--reduce-duplicates needs the database as the query")
     index = {k: read_index(spark, v) for k, v in (("db", a.db), ("query", a.query))}
     vectors = {k: read_residues(spark, f"{v}.emb.parquet") for k, v in (("db", a.db), ("query", a.query))}
     screening = ScreenParams(a.cpc, a.cpc_kernel_size, a.cpc_stride, only_scan=a.only_scan)
@@ -68,7 +98,7 @@ def run_embed(spark: SparkSession, a: argparse.Namespace) -> None:
     hpath = spark._jvm.org.apache.hadoop.fs.Path(f"{a.output}.emb.parquet")
     there = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
     done = read_residues(spark, f"{a.output}.emb.parquet") if there else None
-    write_residues(embed(index, done=done), f"{a.output}.emb.parquet")
+    write_residues(embed(index, a.embedder, done, a.batch_size), f"{a.output}.emb.parquet")
     index.drop("seqlen").write.mode("overwrite").option("header", True).csv(f"{a.output}.csv")
 
 
@@ -84,7 +114,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         rows = rows if a.score is None else rows.where(F.col("score") >= a.score)
         write_hits(top_hits(rows if a.skip_merge else merge_chains(rows), a.max_hits), a.new_csv)
     elif a.command == "report":
-        write_report(report_lines(top_hits(read_hits(spark, a.csv))), a.output)
+        write_report(report_lines(top_hits(read_hits(spark, a.csv))), a.output, REPORT_TITLE)
     elif a.command == "pool":
         pooled(read_residues(spark, f"{a.db}.emb.parquet")).write.mode("overwrite").parquet(a.output)
     elif a.command == "split":

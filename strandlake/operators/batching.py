@@ -55,6 +55,20 @@ def resume_from(batches: DataFrame, last_batch: int) -> DataFrame:
     return batches.where(F.col("batch_id") >= last_batch)
 
 
+def resume_share(shares: DataFrame, points: DataFrame) -> DataFrame:
+    """The batches of :func:`rank_share` that each rank still has to do: from its recorded batch ``(rank, last_batch)`` on, which is done again; all of them if it has no record.
+
+    A record before the first batch of its rank is an error, which is raised while the rows are computed. A record behind the
+    last one leaves nothing.
+    """
+    first = shares.groupBy("rank").agg(F.min("batch_id").alias("_first"))
+    own = first.join(points.groupBy("rank").agg(F.max("last_batch").alias("last_batch")), "rank", "left")
+    known = F.coalesce("last_batch", F.col("_first"))
+    wrong = F.raise_error(F.concat(F.lit("batch "), known.cast("string"), F.lit(" isn't one of rank "), F.col("rank").cast("string"))).cast("long")
+    own = own.select("rank", F.when(known < F.col("_first"), wrong).otherwise(known).alias("_from"))
+    return shares.join(broadcast_if_small(own), "rank").where(F.col("batch_id") >= F.col("_from")).select(*shares.columns)
+
+
 def not_done(index: DataFrame, done: DataFrame, key: str = "run_index") -> DataFrame:
     """Rows whose key has no result yet: a resume that may be repeated at any time."""
     return index.join(done.select(key).distinct(), key, "left_anti")

@@ -114,19 +114,32 @@ def top_hits(rows: DataFrame, k: int = 0) -> DataFrame:
     return number_rows(cut(best, "ranked"), "_i").withColumn("index", F.col("_i") + 1).drop("_i")
 
 
+#: The title of the text report, and the warning in a merged match.
+REPORT_TITLE = " No Hit                         Score   Query    Template"
+MERGED_WARNING = 'Warning: this is a merged match. The linking points are indicated with "~~~~~"'
+
+
+def _wide(text: Column, width: int, side: str) -> Column:
+    """Spaces up to ``width`` on the right, on the left or on both sides; longer texts stay as they are."""
+    spare = F.greatest(F.lit(width) - F.length(text), F.lit(0))
+    left = {"left": F.lit(0), "right": spare, "middle": F.floor(spare / 2).cast("int")}[side]
+    return F.concat(F.repeat(F.lit(" "), left), text, F.repeat(F.lit(" "), spare - left))
+
+
 def report_lines(rows: DataFrame) -> DataFrame:
-    """``header`` and ``body`` of the text report for each row of :func:`top_hits`; positions are printed from 1."""
+    """``header`` (a line of the table under :data:`REPORT_TITLE`) and ``body`` (the block ``No k``) of the text report for each row of :func:`top_hits`.
+
+    Positions are printed from 1; a null description is printed as ``nan``.
+    """
     at = lambda c: (F.col(c) + 1).cast("string")
-    head = F.format_string("%3d %-27s %-5s %s-%s %s-%s (%d)", F.col("index").cast("int"), F.col("sid"), F.col("score").cast("string"), at("qstart"), at("qend"), at("tstart"), at("tend"), F.col("tlen"))
-    warning = F.when(F.instr("qseq", SPACER) > 0, F.lit("Merged match; linking points are indicated with \"~~~~~\"\n")).otherwise("")
-    rates = F.format_string("Score=%s Identities=%d%% Similarity=%s\n", F.col("score").cast("string"), F.bround(F.col("ident") * 100).cast("int"), F.bround("similarity", 2).cast("string"))
-    body = F.concat(
-        F.lit(">"), F.coalesce("sdesc", F.lit("")), F.lit("\n"), rates, warning,
-        F.format_string("Q %6s %s %-6s\n", at("qstart"), F.col("qseq"), at("qend")),
-        F.concat(F.lit("         "), F.col("con"), F.lit("\n")),
-        F.format_string("T %6s %s %-6s", at("tstart"), F.col("tseq"), at("tend")),
-    )
-    return rows.select("index", head.alias("header"), body.alias("body"))
+    number, score = F.col("index").cast("string"), F.col("score").cast("string")
+    spans = [_wide(F.concat(at(f"{s}start"), F.lit("-"), at(f"{s}end")), width, "middle") for s, width in (("q", 10), ("t", 8))]
+    head = F.concat_ws(" ", _wide(number, 3, "right"), _wide(F.col("sid"), 27, "left"), _wide(score, 5, "left"), *spans, F.concat(F.lit("("), F.col("tlen").cast("string"), F.lit(")")))
+    rates = F.concat(F.lit("Score="), score, F.lit(" Identities="), F.bround(F.col("ident") * 100).cast("int").cast("string"), F.lit("% Similarity="), F.bround("similarity", 2).cast("string"))
+    warning = F.when(F.instr("qseq", SPACER) > 0, F.lit(MERGED_WARNING + "\n\n")).otherwise("")
+    sides = [F.concat_ws(" ", F.lit(mark), _wide(at(f"{s}start"), 6, "right"), F.col(f"{s}seq"), _wide(at(f"{s}end"), 6, "left")) for mark, s in (("Q", "q"), ("T", "t"))]
+    block = [F.concat(F.lit("\n\nNo "), number), F.concat(F.lit(">"), F.coalesce("sdesc", F.lit("nan"))), F.concat(rates, F.lit("\n")), F.concat(warning, sides[0]), F.concat(F.lit(" " * 9), F.col("con")), sides[1]]
+    return rows.select("index", head.alias("header"), F.concat_ws("\n", *block).alias("body"))
 
 
 def class_field(description: Column, name: str, following: str) -> Column:

@@ -37,11 +37,13 @@ valued AS (SELECT border.*, coalesce(h, 0) AS h FROM border LEFT JOIN scored s O
 starts AS (SELECT queryid, dbid, b // 2 AS pathid, my, mx, h FROM (
   SELECT *, row_number() OVER (PARTITION BY queryid, dbid, b // 2 ORDER BY h DESC, b) AS r, count(*) OVER (PARTITION BY queryid, dbid, b // 2) AS n FROM valued) t WHERE r = 1 AND n = 2)"""
 
-PATHS = STARTS + """,
+MATRIX = """,
 hm AS MATERIALIZED (
   SELECT queryid, dbid, y + 1 AS my, x + 1 AS mx, h FROM scored
   UNION ALL SELECT queryid, dbid, 0, m, 0 FROM (SELECT queryid, dbid, unnest(range(0, nq + 1)) AS m FROM lens) t
-  UNION ALL SELECT queryid, dbid, m, 0, 0 FROM (SELECT queryid, dbid, unnest(range(1, nt + 1)) AS m FROM lens) t),
+  UNION ALL SELECT queryid, dbid, m, 0, 0 FROM (SELECT queryid, dbid, unnest(range(1, nt + 1)) AS m FROM lens) t)"""
+
+WALK = """,
 near AS MATERIALIZED (SELECT a.queryid, a.dbid, a.my, a.mx, u.h AS up, l.h AS lt, d.h AS dg FROM hm a
   JOIN hm u ON u.queryid = a.queryid AND u.dbid = a.dbid AND u.my = a.my - 1 AND u.mx = a.mx
   JOIN hm l ON l.queryid = a.queryid AND l.dbid = a.dbid AND l.my = a.my AND l.mx = a.mx - 1
@@ -59,6 +61,21 @@ paths AS MATERIALIZED (
   SELECT w.queryid, w.dbid, w.pathid, max(i) OVER (PARTITION BY w.queryid, w.dbid, w.pathid) - i AS k, my - 1 AS y, mx - 1 AS x, c.c
   FROM walk w JOIN cells c ON c.queryid = w.queryid AND c.dbid = w.dbid AND c.y = my - 1 AND c.x = mx - 1)"""
 
+PATHS = STARTS + MATRIX + WALK
+
+#: Global alignment: anti-diagonals of the score matrix, one after the other, as lists by row; one path from the last corner.
+GLOBAL = CELLS + """,
+mats AS MATERIALIZED (SELECT queryid, dbid, list(r ORDER BY y) AS m, count(*) AS nt, max(len(r)) AS nq FROM (SELECT queryid, dbid, y, list(c ORDER BY x) AS r FROM cells GROUP BY 1, 2, 3) t GROUP BY 1, 2),
+diag AS (
+  SELECT queryid, dbid, CAST(0 AS BIGINT) AS d, list_transform(range(0, nt + 1), lambda i: CAST(0 AS DOUBLE)) AS cur, list_transform(range(0, nt + 1), lambda i: CAST(0 AS DOUBLE)) AS prev FROM mats
+  UNION ALL
+  SELECT s.queryid, s.dbid, s.d + 1, list_transform(range(0, nt + 1), lambda i: CASE WHEN i < 1 OR s.d + 1 - i < 1 OR s.d + 1 - i > nq THEN 0 ELSE greatest(0, s.prev[i] + m[i][s.d + 1 - i], s.cur[i] - 0.5, s.cur[i + 1] - 0.5) END), s.cur
+  FROM diag s JOIN mats USING (queryid, dbid) WHERE s.d < nt + nq),
+hm AS MATERIALIZED (SELECT t.queryid, t.dbid, i AS my, d - i AS mx, h FROM (SELECT queryid, dbid, d, unnest(cur) AS h, unnest(range(0, len(cur))) AS i FROM diag) t JOIN mats USING (queryid, dbid) WHERE d - i >= 0 AND d - i <= nq),
+starts AS (SELECT queryid, dbid, 0 AS pathid, nt AS my, nq AS mx FROM mats)""" + WALK + f""",
+flat AS MATERIALIZED (SELECT queryid, dbid, pathid, 0 AS spanid, 0 AS span_start, count(*) AS span_end, min(y) AS y1, min(x) AS x1, max(y) AS y2, max(x) AS x2, avg(c) AS score, count(*) AS len
+  FROM paths GROUP BY queryid, dbid, pathid HAVING count(*) >= {SPAN} AND least(max(y) - min(y), max(x) - min(x)) > {SPAN})"""
+
 MEANS = PATHS + f""",
 pre AS (SELECT *, sum(c) OVER (PARTITION BY queryid, dbid, pathid ORDER BY k) AS p, count(*) OVER (PARTITION BY queryid, dbid, pathid) AS n FROM paths),
 ends AS (SELECT *, least({WINDOW}, n) AS w, greatest(least({WINDOW}, n) - 1, least(k, n - {WINDOW} - 1)) AS e FROM pre),
@@ -153,6 +170,19 @@ SQL: dict[str, str] = {
           JOIN points p ON p.queryid = r.queryid AND p.dbid = r.dbid AND p.pathid = r.pathid AND p.spanid = r.spanid)""", """
         SELECT a.queryid, a.dbid, a.r AS i, b.r AS j, round(count(*) / max(b.n), 6) AS share FROM cellsof a
         JOIN cellsof b ON a.queryid = b.queryid AND a.dbid = b.dbid AND a.y = b.y AND a.x = b.x AND a.r > b.r GROUP BY 1, 2, 3, 4""", True),
+    "global_hits": _with(GLOBAL, f"SELECT {KEYS} FROM flat", True),
+    "unique_hits": _with(HITS + """,
+        ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY queryid, dbid ORDER BY pathid, spanid) AS r FROM flat),
+        cellsof AS (SELECT r.queryid, r.dbid, r.r, p.y, p.x, count(*) OVER (PARTITION BY r.queryid, r.dbid, r.r) AS n FROM ranked r
+          JOIN points p ON p.queryid = r.queryid AND p.dbid = r.dbid AND p.pathid = r.pathid AND p.spanid = r.spanid),
+        alike AS (SELECT a.queryid, a.dbid, a.r AS i, b.r AS j FROM cellsof a JOIN cellsof b ON a.queryid = b.queryid AND a.dbid = b.dbid AND a.y = b.y AND a.x = b.x AND a.r > b.r
+          GROUP BY 1, 2, 3, 4 HAVING count(*) > 0.8 * max(b.n)),
+        ordered AS MATERIALIZED (SELECT r.queryid, r.dbid, r.r, coalesce(list(j) FILTER (j IS NOT NULL), []) AS others FROM ranked r LEFT JOIN alike l ON l.queryid = r.queryid AND l.dbid = r.dbid AND l.i = r.r GROUP BY 1, 2, 3),
+        greedy AS (
+          SELECT queryid, dbid, r, [r] AS kept, TRUE AS stays FROM ordered WHERE r = 1
+          UNION ALL
+          SELECT o.queryid, o.dbid, o.r, CASE WHEN list_has_any(g.kept, o.others) THEN g.kept ELSE list_append(g.kept, o.r) END, NOT list_has_any(g.kept, o.others)
+          FROM greedy g JOIN ordered o ON o.queryid = g.queryid AND o.dbid = g.dbid AND o.r = g.r + 1)""", f"SELECT {KEYS} FROM ranked JOIN greedy USING (queryid, dbid, r) WHERE stays", True),
     "search_output": _output(HITS, "best", "round"),
     "full_search": _output(HITS + POOL_STEPS + ",\n" + KEPT + ",\nscreened AS (SELECT best.* FROM best JOIN kept USING (queryid, dbid))", "screened", "round_even"),
     "truth_overlap": _with(HITS + """,
@@ -195,6 +225,11 @@ SQL: dict[str, str] = {
         UNION ALL
         SELECT sid AS qid, round(score, 3) AS score, qid AS sid, tstart AS qstart, tend AS qend, tseq AS qseq, con, qseq AS tseq, qstart AS tstart, qend AS tend, qlen AS tlen, tlen AS qlen, match_len
         FROM h WHERE qid IS NOT NULL AND sid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM h o WHERE o.qid = h.sid AND o.sid = h.qid)""",
+    "all_mirrored_hits": """
+        SELECT hit_id, qid, round(score, 3) AS score, sid, qstart, qend, tstart, tend, tlen, qlen, match_len FROM hits
+        UNION ALL
+        SELECT hit_id, sid AS qid, round(score, 3) AS score, qid AS sid, tstart AS qstart, tend AS qend, qstart AS tstart, qend AS tend, qlen AS tlen, tlen AS qlen, match_len
+        FROM hits h WHERE qid IS NOT NULL AND sid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM hits o WHERE o.qid = h.sid AND o.sid = h.qid)""",
     "score_cut": "SELECT hit_id, qid, sid, score FROM hits WHERE score >= 0.5 AND NOT isnan(score)",
     "top_hits": f"""
         SELECT row_number() OVER (ORDER BY score DESC, qid NULLS FIRST, sid NULLS FIRST, qstart, tstart, qseq, tseq) AS index, qid, sid, score FROM (
@@ -230,6 +265,29 @@ SQL: dict[str, str] = {
         c AS (SELECT X, row_number() OVER (ORDER BY X) - 1 AS colour FROM (SELECT DISTINCT X FROM g WHERE X <> 'X: NO_X_NAME') n)
         SELECT g.X, g.T, c.colour FROM g LEFT JOIN c ON c.X = g.X""",
     "plot_rows": f"WITH {DRAWN} SELECT hit_id, qid, len FROM (SELECT hit_id, qid, qend - qstart AS len, row_number() OVER (PARTITION BY qid ORDER BY hit_id) AS n FROM drawn WHERE score >= 0.4) t WHERE n <= 25",
+    "all_plot_rows": f"WITH {DRAWN} SELECT hit_id, qid, qend - qstart AS len FROM drawn WHERE score >= 0.4",
+    "plot_lanes": f"""
+        WITH RECURSIVE {DRAWN},
+        ranked AS MATERIALIZED (SELECT qid, hit_id, score, qstart, qend, row_number() OVER (PARTITION BY qid ORDER BY score DESC, hit_id) AS r,
+          min(score) OVER (PARTITION BY qid) AS low, max(score) OVER (PARTITION BY qid) AS high FROM drawn WHERE score >= 0.4 AND qstart IS NOT NULL AND qend IS NOT NULL),
+        lanes AS (
+          SELECT qid, r, hit_id, [qend] AS ends, CAST(1 AS BIGINT) AS lane FROM ranked WHERE r = 1
+          UNION ALL
+          SELECT qid, r, hit_id, CASE WHEN free = 0 THEN list_append(ends, qend) ELSE list_transform(ends, lambda e, i: CASE WHEN i = free THEN qend ELSE e END) END, CASE WHEN free = 0 THEN len(ends) + 1 ELSE free END
+          FROM (SELECT n.*, l.ends, coalesce(list_position(list_transform(l.ends, lambda e: e <= n.qstart), TRUE), 0) AS free FROM lanes l JOIN ranked n ON n.qid = l.qid AND n.r = l.r + 1) t)
+        SELECT qid, hit_id, CAST(lane AS INT) AS lane, CASE WHEN high > low THEN round((score - low) / (high - low), 6) ELSE 0 END AS shade FROM lanes JOIN ranked USING (qid, hit_id, r)""",
+    "hit_report": f"""
+        WITH best AS (SELECT * FROM {CURRENT_SCORED} t ORDER BY score DESC, qid NULLS FIRST, sid NULLS FIRST, qstart, tstart, qseq, tseq LIMIT 100),
+        n AS (SELECT *, row_number() OVER (ORDER BY score DESC, qid NULLS FIRST, sid NULLS FIRST, qstart, tstart, qseq, tseq) AS no, CAST(score AS VARCHAR) AS s,
+          (qstart + 1) || '-' || (qend + 1) AS q, (tstart + 1) || '-' || (tend + 1) AS t FROM best),
+        w AS (SELECT *, greatest(0, 10 - length(q)) AS qpad, greatest(0, 8 - length(t)) AS tpad, chr(10) AS nl FROM n)
+        SELECT no AS index,
+          lpad(CAST(no AS VARCHAR), 3, ' ') || ' ' || sid || repeat(' ', greatest(0, 27 - length(sid))) || ' ' || s || repeat(' ', greatest(0, 5 - length(s))) || ' '
+            || repeat(' ', qpad // 2) || q || repeat(' ', qpad - qpad // 2) || ' ' || repeat(' ', tpad // 2) || t || repeat(' ', tpad - tpad // 2) || ' (' || tlen || ')' AS header,
+          nl || nl || 'No ' || no || nl || '>' || coalesce(sdesc, 'nan') || nl || 'Score=' || s || ' Identities=' || CAST(round_even(ident * 100, 0) AS INT) || '% Similarity=' || CAST(round_even(similarity, 2) AS VARCHAR) || nl || nl
+            || CASE WHEN contains(qseq, '~~~~~') THEN 'Warning: this is a merged match. The linking points are indicated with "~~~~~"' || nl || nl ELSE '' END
+            || 'Q ' || lpad(CAST(qstart + 1 AS VARCHAR), 6, ' ') || ' ' || qseq || ' ' || rpad(CAST(qend + 1 AS VARCHAR), 6, ' ') || nl || '         ' || con || nl
+            || 'T ' || lpad(CAST(tstart + 1 AS VARCHAR), 6, ' ') || ' ' || tseq || ' ' || rpad(CAST(tend + 1 AS VARCHAR), 6, ' ') AS body FROM w""",
     "prepared_sequences": f"WITH {INDEX} SELECT run_index, upper(substr(seq, 1, 1000)) AS seq, length(substr(seq, 1, 1000)) AS seqlen FROM index_rows WHERE seq IS NOT NULL",
     "length_statistics": f"""WITH {INDEX} SELECT count(*) AS sequences, min(least(length(seq), 1000)) AS shortest, round(avg(least(length(seq), 1000)), 6) AS mean_length, max(least(length(seq), 1000)) AS longest
         FROM index_rows WHERE seq IS NOT NULL""",
@@ -265,7 +323,21 @@ SQL: dict[str, str] = {
         SELECT run_index, CASE WHEN good THEN id ELSE CAST(run_index AS VARCHAR) END AS id FROM index_rows, ok""",
     "fasta_round_trip": f"WITH {INDEX} SELECT id, id AS description, upper(seq) AS sequence FROM index_rows WHERE id IS NOT NULL AND seq <> ''",
     "hits_csv_round_trip": "SELECT qid, sid, score, qstart, con, match_len FROM hits WHERE qid IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)",
+    "all_hits_csv_round_trip": "SELECT nullif(qid, '') AS qid, nullif(sid, '') AS sid, score, qstart, nullif(con, '') AS con, match_len, nullif(sdesc, '') AS sdesc FROM hits",
+    "all_fasta_round_trip": f"""WITH {INDEX}, ok AS (SELECT count(*) = count(DISTINCT id) AS good FROM index_rows)
+        SELECT CASE WHEN good THEN id ELSE CAST(run_index AS VARCHAR) END AS id, upper(seq) AS sequence FROM index_rows, ok WHERE seq <> ''""",
     "stream_counts": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "p5_found": r"""
+        WITH fields AS (
+          SELECT 'seqindex' AS tab_name, run_index AS row_key, max(description) AS v FROM seqindex WHERE description <> '' AND description <> 'na' GROUP BY 2
+          UNION ALL SELECT 'hits', hit_id, max(sdesc) FROM hits WHERE sdesc <> '' AND sdesc <> 'na' GROUP BY 2),
+        parts AS (SELECT tab_name, row_key, regexp_extract_all(v, '(?s)(?: *"(?:[^"]|"")*"[^|;,\t"]*| *''(?:[^'']|'''')*''[^|;,\t'']*|(?:\\[|;,\t]|[^|;,\t])*)(?:[|;,\t]|$)') AS ps FROM fields WHERE row_key IS NOT NULL),
+        flat AS (SELECT tab_name, row_key, unnest(ps) AS raw, unnest(range(1, len(ps) + 1)) AS pos FROM parts),
+        read AS (SELECT tab_name, row_key, pos, CASE
+            WHEN regexp_matches(raw, '(?s)^ *"(?:[^"]|"")*"') THEN replace(regexp_extract(raw, '(?s)^ *"((?:[^"]|"")*)"', 1), '""', '"')
+            WHEN regexp_matches(raw, '(?s)^ *''(?:[^'']|'''')*''') THEN replace(regexp_extract(raw, '(?s)^ *''((?:[^'']|'''')*)''', 1), '''''', '''')
+            ELSE trim(regexp_replace(regexp_extract(raw, '(?s)^((?:\\[|;,\t]|[^|;,\t])*)', 1), '\\([|;,\t])', '\1', 'g'), ' ') END AS piece FROM flat)
+        SELECT tab_name, row_key, CAST(pos AS INT) AS pos, piece FROM read WHERE piece <> ''""",
     "p3_found": """
         WITH good AS (
           SELECT file_id, array_to_string(list_filter(string_split(embeddingpath, '/'), lambda s: s <> '' AND s <> '.'), '/') AS dir, run_index, modified_at

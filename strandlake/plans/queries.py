@@ -255,6 +255,13 @@ def mirrored_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return output.mirror_hits(rows, decimals=3)
 
 
+@query
+def all_mirrored_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows: null and NaN scores too."""
+    rows = table(spark, sf_dir, "hits").select("hit_id", "qid", "score", "sid", "qstart", "qend", "tstart", "tend", "tlen", "qlen", "match_len")
+    return output.mirror_hits(rows, decimals=3)
+
+
 @query
 def score_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "hits").where("score >= 0.5 and not isnan(score)").select("hit_id", "qid", "sid", "score")
@@ -398,6 +405,22 @@ def hits_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_hits(spark, path).select("qid", "sid", "score", "qstart", "con", "match_len")
 
 
+@query
+def all_fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence; its number is its id where the ids don't serve."""
+    path = scratch_path(spark, "fasta")
+    sequences.write_fasta(sequences.with_unique_ids(_index(spark, sf_dir)).where("seq != ''"), path, "id", sequence="seq")
+    return sequences.read_fasta(spark, path).select("id", "sequence")
+
+
+@query
+def all_hits_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows: null and NaN come back as they were, empty texts as null."""
+    path = scratch_path(spark, "hits-csv")
+    tables.write_hits(table(spark, sf_dir, "hits").select(*tables.OUTPUT.fieldNames()), path)
+    return tables.read_hits(spark, path).select("qid", "sid", "score", "qstart", "con", "match_len", "sdesc")
+
+
 @query
 def embedded_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residues that the stand-in model makes of each sequence, and the sum of their vectors."""

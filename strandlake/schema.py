@@ -8,6 +8,7 @@ HIT = (
     "queryid long, dbid long, pathid int, spanid int, span_start int, span_end int, indices array<struct<y:int,x:int>>, "
     "score double, len int, mode string, y1 int, x1 int"
 )
+#: The columns of the delivered table.
 OUTPUT_COLUMNS = [
     "qid", "score", "ident", "similarity", "sid", "qstart", "qend", "qseq", "con", "tseq", "tstart", "tend", "tlen", "qlen", "match_len",
 ]

@@ -12,7 +12,7 @@ CSV = {"sep": ";", "header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrai
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """A ``;`` file of delivered hits, or a folder of them."""
+    """A ``;`` file of delivered hits, or a folder of them. Empty fields are null: an empty text isn't told from a missing one."""
     return spark.read.csv(path, schema=OUTPUT, **CSV)
 
 
@@ -38,8 +38,8 @@ def read_residues(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("run_index", "pos", "vec")
 
 
-def write_report(lines: DataFrame, path: str) -> None:
-    """The text report of :func:`strandlake.operators.tools.report_lines`: all headers, then all alignments, in order."""
-    heads = lines.select(F.lit(0).alias("_s"), "index", F.col("header").alias("value"))
-    bodies = lines.select(F.lit(1).alias("_s"), "index", F.concat(F.lit("\nNo "), F.col("index").cast("string"), F.lit("\n"), F.col("body")).alias("value"))
-    heads.unionByName(bodies).orderBy("_s", "index").select("value").write.mode("overwrite").text(path)
+def write_report(lines: DataFrame, path: str, title: str) -> None:
+    """The text report of :func:`strandlake.operators.tools.report_lines`: the title, all headers, then all alignments, in order."""
+    top = lines.sparkSession.range(1).select(F.lit(0).alias("_s"), F.lit(0).cast("long").alias("index"), F.lit(title).alias("value"))
+    parts = [lines.select(F.lit(k).alias("_s"), F.col("index").cast("long").alias("index"), F.col(c).alias("value")) for k, c in ((1, "header"), (2, "body"))]
+    top.unionByName(parts[0]).unionByName(parts[1]).orderBy("_s", "index").select("value").write.mode("overwrite").text(path)

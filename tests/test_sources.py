@@ -122,8 +122,18 @@ def test_command_line(spark, tmp_path):
     cli.main(["split", str(tmp_path / "q.fasta"), str(tmp_path / "split"), "--chunk", "5", "--max-length", "100"], spark)
     assert spark.read.parquet(str(tmp_path / "pooled")).count() == 12 * 45
     assert len(list((tmp_path / "split").glob("part=*"))) == 3
+    report = [r.value for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert any(v.startswith(" No Hit ") for v in report) and "No 1" in report and any(v.startswith("  1 s") for v in report)
+    wrong = [["--win", "9", "--span", "3"], ["--win", "0"], ["--win", "50"], ["--cpc", "100"], ["--alignment-cutoff", "1"], ["--alignment-cutoff", "-0.1"], ["--cpc-stride", "0"], ["--bfactor", "0"]]
+    for args in wrong:
+        with pytest.raises(SystemExit):
+            cli.main(["search", fasta, fasta, out, *args], spark)
     with pytest.raises(SystemExit):
-        cli.main(["search", fasta, fasta, out, "--win", "9", "--span", "3"], spark)
+        cli.main(["search", base, fasta, out, "--reduce-duplicates"], spark)
+    for args in (["--batch-size", "0"], ["--embedder", "none"], ["--truncate", "0"]):
+        with pytest.raises(SystemExit):
+            cli.main(["embed", fasta + ".fasta", base, *args], spark)
+    assert cli.embedder("strandlake.operators.embed:HashEmbedder") is cli.embedder("hash")
 
 
 def test_completeness(spark):

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandlake.operators import tools
-from strandlake.operators.batching import before_multiples, groups_of_four, over_multiples, plan_batches, rank_share, resume_points, split_by_length
+from strandlake.operators.batching import before_multiples, groups_of_four, over_multiples, plan_batches, rank_share, resume_points, resume_share, split_by_length
 from strandlake.operators.ranking import positions
+from strandlake.schema import OUTPUT_COLUMNS
 
-COLUMNS = ["qid", "score", "ident", "similarity", "sid", "qstart", "qend", "qseq", "con", "tseq", "tstart", "tend", "tlen", "qlen", "match_len", "sdesc"]
+COLUMNS = [*OUTPUT_COLUMNS, "sdesc"]
 
 
 def make_hits(spark, n=600, subjects=5, seed=1):
@@ -201,6 +202,15 @@ def test_rank_share(spark):
     assert [r.rank for r in got.orderBy("batch_id").collect()] == [0] * 3 + [1] * 3 + [2] * 5
 
 
+def test_resume_in_the_share_of_a_rank(spark):
+    shares = rank_share(spark.range(11).withColumnRenamed("id", "batch_id"), 3, 11)
+    points = spark.createDataFrame([(0, 1), (1, 5), (1, 4)], "rank long, last_batch long")
+    assert sorted(r.batch_id for r in resume_share(shares, points).collect()) == [1, 2, 5, 6, 7, 8, 9, 10]
+    early = spark.createDataFrame([(2, 4)], "rank long, last_batch long")
+    with pytest.raises(Exception, match="isn't one of rank 2"):
+        resume_share(shares, early).collect()
+
+
 def test_split_by_length(spark):
     df = spark.createDataFrame([(0, 9), (1, 3), (2, 3), (3, 100), (4, 5)], "run_index long, seqlen int")
     assert {r.run_index: r.part for r in split_by_length(df, 2, 50).collect()} == {1: "1", 2: "1", 4: "2", 0: "2", 3: "CPU"}
