@@ -16,7 +16,7 @@ from strandlake.operators.matrices import matrix, to_matrices, unit_rows
 from strandlake.operators.ranking import spread
 from strandlake.params import STOP_SCORE, AlignParams
 from strandlake.schema import HIT
-from strandlake.session import small_enough
+from strandlake.session import broadcast_if_small, small_enough
 
 #: Rows that a task holds before it hands them over.
 OUT_ROWS = 200_000
@@ -186,7 +186,7 @@ def align_pairs(pairs: DataFrame, queries: DataFrame, targets: DataFrame, params
     wanted = pairs.select("queryid", "dbid").distinct()
     t = to_matrices(targets).select(F.col("run_index").alias("dbid"), F.col("n").alias("nt"), F.col("emb").alias("b"))
     if small_enough(queries.select("run_index"), held_residues):
-        rows = to_matrices(queries.join(F.broadcast(wanted.select(F.col("queryid").alias("run_index")).distinct()), "run_index", "left_semi")).collect()  # bounded by held_residues
+        rows = to_matrices(queries.join(broadcast_if_small(wanted.select(F.col("queryid").alias("run_index")).distinct()), "run_index", "left_semi")).collect()  # bounded by held_residues
         held = spark.sparkContext.broadcast({r.run_index: matrix(r.emb, r.n) for r in rows})
         work = wanted.groupBy("dbid", F.pmod(F.xxhash64("queryid"), F.lit(16)).alias("_s")).agg(F.collect_list("queryid").alias("qs")).join(t, "dbid").select("dbid", "nt", "b", "qs")
 

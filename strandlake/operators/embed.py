@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +64,15 @@ def embed(index: DataFrame, make_embedder: Callable[[], Embedder] = HashEmbedder
 
 
 def to_half(residues: DataFrame) -> DataFrame:
-    """Vectors rounded as half-precision storage would."""
+    """Vectors rounded as half-precision storage would; a whole Arrow batch at once."""
+    at = residues.columns.index("vec")
 
-    @F.pandas_udf("array<double>")
-    def rounded(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: np.asarray(x, np.float16).astype(np.float64))
+    def rounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec = batch.column(at)
+            flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float64)
+            ends = np.append(0, np.cumsum(pc.fill_null(vec.value_lengths(), 0).to_numpy())).astype(np.int32)
+            made = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=vec.is_null() if vec.null_count else None)
+            yield batch.set_column(at, batch.schema.field(at), made.cast(batch.schema.field(at).type))
 
-    return residues.withColumn("vec", rounded("vec"))
+    return residues.mapInArrow(rounded, residues.schema)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from strandlake.session import broadcast_if_small, cut, scratch_path
 
+#: Rows of a range partition that is walked by one task (in few columns), and partitions at least; each more of one group costs a round.
+WALK_ROWS, LEAST_WALKS = 2_000_000, 4
 #: ``(columns of a stretch, state before it, whether its group ends with it) -> (output columns, state after it)``
 Step = Callable[[dict[str, np.ndarray], bytes | None, bool], tuple[dict[str, np.ndarray], bytes]]
 
@@ -61,12 +63,12 @@ def walk(df: DataFrame, key: str, order: list[str | Column], columns: list[str],
     """The rows with their place ``_m``, and what ``step`` gives (``schema``: whole numbers and strings) as it goes through each group in order.
 
     ``key`` is a string that is never null; ``step`` sees ``_m``, ``_k`` (the key) and ``columns``. The rows are sorted over
-    range partitions, so a group of any size is shared among tasks. A group that goes on in the next partition hands its
+    range partitions of at most about ``WALK_ROWS`` rows, so a group of any size is shared among tasks. A group that goes on in the next partition hands its
     state over: first all stretches that begin a group are walked, then those that continue one, one partition further in each
     round. There are as many rounds as the largest group has partitions; a task holds one partition and one state.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, "walk")
-    placed = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("_m", F.monotonically_increasing_id())
+    placed = df.repartitionByRange(max(LEAST_WALKS, df.count() // WALK_ROWS), key, *order).sortWithinPartitions(key, *order).withColumn("_m", F.monotonically_increasing_id())
     placed.write.parquet(f"{path}/rows")
 
     def rows(names: list[str]) -> DataFrame:

@@ -16,6 +16,10 @@ from strandlake.params import POOL_WIDTH, ScreenParams
 from strandlake.session import broadcast_if_small, cut, cut_counted, small_enough
 
 
+#: Residues of queries that are held by every task at once.
+HELD_RESIDUES = 200_000
+
+
 def pooled(residues: DataFrame, width: int = POOL_WIDTH) -> DataFrame:
     """``(run_index, pos, vec)`` with each ``width`` dimensions averaged."""
     return residues.select("run_index", "pos", pool(F.col("vec"), width).alias("vec"))
@@ -44,11 +48,12 @@ def _fold_matrix(m: np.ndarray, kernel: int, stride: int) -> np.ndarray:
 def _scores_in_blocks(queries: DataFrame, targets: DataFrame, rows_of: Callable[[np.ndarray], np.ndarray], query_block: int) -> DataFrame:
     """``(queryid, dbid, score)``: the greatest product of any row that ``rows_of`` makes of the query's matrix with any of the target's.
 
-    The queries are held in blocks of at most about ``query_block`` sequences (checked); the targets are scanned once per
+    The queries are held in blocks of at most about ``query_block`` sequences and ``HELD_RESIDUES`` residues (counted); the targets are scanned once per
     block and multiplied in Arrow batches, so nothing but the scores is shuffled.
     """
     q, t = to_matrices(queries), spread(to_matrices(targets), "run_index")
-    blocks = 1 if small_enough(q.select("run_index"), query_block) else q.count() // query_block + 1
+    n, residues = q.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = 1 if n <= query_block and residues <= HELD_RESIDUES else max(n // query_block, residues // HELD_RESIDUES) + 1
     out = None
     for k in range(blocks):
         own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("run_index"), F.lit(blocks)) == k)

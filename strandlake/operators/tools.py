@@ -10,56 +10,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.residues import SPACER
-from strandlake.operators.ranking import positions, spread, walk
+from strandlake.operators.ranking import all_cores, positions, spread, walk
 from strandlake.session import broadcast_if_small, cut
 
 LEAST_RATIO = 0.7
+#: Rows of a range partition that is walked by one task.
+PARTITION_ROWS = 1_000_000
 ORDER = ["sid", "qstart", "tstart", "qend", "tend", "qid", "score", "qseq", "tseq"]
 
 
-def _chain_starts(part: pd.DataFrame, anchor: tuple | None) -> tuple[np.ndarray, tuple | None]:
-    """Whether each row opens a chain, given the anchor ``(sid, qstart, tstart)`` before them; and the anchor after them."""
-    opens = np.zeros(len(part), bool)
-    for k, (sid, q, t) in enumerate(zip(part["sid"].tolist(), part["qstart"].tolist(), part["tstart"].tolist())):
+def _chains(part: pd.DataFrame, anchor: tuple | None) -> tuple[np.ndarray, tuple | None]:
+    """The place ``_m`` of the hit that opened each row's chain, given the anchor ``(sid, qstart, tstart, _m)`` before them; and the anchor after them."""
+    chain = np.zeros(len(part), np.int64)
+    for k, (sid, q, t, m) in enumerate(zip(*(part[c].tolist() for c in ("sid", "qstart", "tstart", "_m")))):
         if anchor is not None and anchor[0] == sid:
             dq, dt = q - anchor[1], t - anchor[2]
             if dq >= 0 and dt >= 0 and (max(dq, dt) == 0 or min(dq, dt) / max(dq, dt) >= LEAST_RATIO):
+                chain[k] = anchor[3]
                 continue
-        anchor, opens[k] = (sid, q, t), True
-    return opens, anchor
+        anchor = (sid, q, t, m)
+        chain[k] = m
+    return chain, anchor
 
 
 def chain_numbers(hits: DataFrame) -> DataFrame:
-    """``chain``: hits of one subject that follow one another along both sequences get one number per subject.
+    """``chain``: hits of one subject that follow one another along both sequences get one number, which no other chain has.
 
     In the order of ``qstart`` a hit joins the open chain if, against the chain's first hit, it lies ahead on both sides by
     distances of a ratio of at least 0.7 (equal starts join); else it opens the next chain.
 
-    The hits are range-partitioned by subject and position, so one subject may fill many partitions. Each partition is
-    walked as if nothing went before; then again with the anchor that its predecessor ended with, until no
-    partition's last anchor changes. Rows with a null subject or start are left out.
+    The hits are range-partitioned by subject and position into partitions of at most about ``PARTITION_ROWS`` rows, so one
+    subject may fill many. Each partition is walked as if nothing went before; then again with the anchor that its
+    predecessor ended with, until no partition's last anchor changes; a chain's number is the place of its first hit.
+    Rows with a null subject or start are left out.
     """
     rows = hits.where("sid is not null and qstart is not null and tstart is not null")
     order = [c for c in ORDER if c in hits.columns]
-    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "chains")
-    keyed = placed.withColumn("_p", F.shiftright("_m", 33))
-    schema = "_p long, sid string, qstart long, tstart long, first string, n long"
+    tasks = all_cores(hits.sparkSession, rows.count(), PARTITION_ROWS)
+    placed = cut(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "chains")
+    slim = placed.select(F.shiftright("_m", 33).alias("_p"), "_m", "sid", F.col("qstart").cast("long").alias("qstart"), F.col("tstart").cast("long").alias("tstart"))
 
     def ends(anchors: dict[int, tuple]):
         def run(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("_m")
             p = int(part["_p"].iloc[0])
-            _, last = _chain_starts(part, anchors.get(p))
-            return pd.DataFrame([(p, *last, part["sid"].iloc[0], len(part))], columns=["_p", "sid", "qstart", "tstart", "first", "n"])
+            _, last = _chains(part, anchors.get(p))
+            return pd.DataFrame([(p, *last, part["sid"].iloc[0])], columns=["_p", "sid", "qstart", "tstart", "_m", "first"])
 
         return run
 
-    slim = keyed.select("_p", "_m", "sid", F.col("qstart").cast("long").alias("qstart"), F.col("tstart").cast("long").alias("tstart"))
     anchors: dict[int, tuple] = {}
     while True:
-        # one row per partition; a partition is a few MB of the table
-        got = sorted(slim.groupBy("_p").applyInPandas(ends(anchors), schema).collect(), key=lambda r: r[0])
-        before = {b[0]: (a[1], a[2], a[3]) for a, b in zip(got, got[1:]) if a[1] == b[4]}
+        # one row per partition
+        got = sorted(slim.groupBy("_p").applyInPandas(ends(anchors), "_p long, sid string, qstart long, tstart long, _m long, first string").collect(), key=lambda r: r[0])
+        before = {b[0]: (a[1], a[2], a[3], a[4]) for a, b in zip(got, got[1:]) if a[1] == b[5]}
         if before == anchors:
             break
         anchors = before
@@ -67,16 +71,9 @@ def chain_numbers(hits: DataFrame) -> DataFrame:
 
     def mark(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_m")
-        opens, _ = _chain_starts(part, final.get(int(part["_p"].iloc[0])))
-        return pd.DataFrame({"_m": part["_m"], "_open": opens, "_p": part["_p"], "sid": part["sid"]})
+        return pd.DataFrame({"_m": part["_m"], "chain": _chains(part, final.get(int(part["_p"].iloc[0])))[0]})
 
-    marks = cut(slim.groupBy("_p").applyInPandas(mark, "_m long, _open boolean, _p long, sid string"), "chain-marks")
-    # running numbers: counts of each partition's share of a subject, laid end to end
-    share = marks.groupBy("sid", "_p").agg(F.sum(F.col("_open").cast("long")).alias("_c"))
-    base = share.withColumn("_b", F.sum("_c").over(Window.partitionBy("sid").orderBy("_p")) - F.col("_c")).select("sid", "_p", "_b")
-    within = marks.withColumn("_w", F.sum(F.col("_open").cast("long")).over(Window.partitionBy("sid", "_p").orderBy("_m")))
-    numbered = within.join(base, ["sid", "_p"]).select("_m", (F.col("_b") + F.col("_w")).alias("chain"))
-    return placed.join(numbered, "_m")
+    return placed.join(slim.groupBy("_p").applyInPandas(mark, "_m long, chain long"), "_m")
 
 
 def merge_chains(hits: DataFrame, least_score: float | None = None, decimals: int = 2) -> DataFrame:
@@ -94,8 +91,8 @@ def merge_chains(hits: DataFrame, least_score: float | None = None, decimals: in
     def mean(c: str) -> Column:
         return F.when(F.count("*") > 1, F.round(F.avg(c), decimals)).otherwise(F.first(c))
 
-    out = chained.groupBy("sid", "chain").agg(
-        first("qid").alias("qid"), mean("score").alias("score"), mean("ident").alias("ident"), mean("similarity").alias("similarity"),
+    out = chained.groupBy("chain").agg(
+        F.first("sid").alias("sid"), first("qid").alias("qid"), mean("score").alias("score"), mean("ident").alias("ident"), mean("similarity").alias("similarity"),
         first("qstart").alias("qstart"), last("qend").alias("qend"), joined("qseq", SPACER).alias("qseq"), joined("con", " " * len(SPACER)).alias("con"),
         joined("tseq", SPACER).alias("tseq"), first("tstart").alias("tstart"), last("tend").alias("tend"), first("tlen").alias("tlen"), first("qlen").alias("qlen"),
         F.when(F.count("*") > 1, last("qend") - first("qstart") + 1).otherwise(F.first("match_len")).alias("match_len"), first("sdesc").alias("sdesc"), F.count("*").alias("merged"),

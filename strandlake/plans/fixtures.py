@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.session import table
+from strandlake.session import broadcast_if_small, table
 
 STEP, LENGTH, EVERY = 25, 50, 20
 OWN, OTHER, JUMP = 0.8, 0.6, 37
@@ -45,4 +45,4 @@ def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     queries = placed.where(asked).select("run_index", "pos", F.col("e").alias("vec"))
     q = queries.select(F.col("run_index").alias("queryid")).distinct()
     t = placed.select(F.col("run_index").alias("dbid")).distinct()
-    return Fixture(queries, mixed, index.where(asked), index, t.join(F.broadcast(q), F.lit(True)).select("queryid", "dbid"))
+    return Fixture(queries, mixed, index.where(asked), index, t.join(broadcast_if_small(q, 100_000), F.lit(True)).select("queryid", "dbid"))
