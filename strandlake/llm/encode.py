@@ -95,9 +95,20 @@ def _mix(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
     return h
 
 
+def key_words(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two machine words for each word: its bytes, or, of one above ``WIDE`` bytes, its first eight, and its next and last eight mixed."""
+    padded = np.append(raw, np.zeros(WIDE, np.uint8))
+    view = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    low, high = view[at] & MASK[np.minimum(size, 8)], view[at + 8] & MASK[np.clip(size - 8, 0, 8)]
+    wide = np.flatnonzero(size > WIDE)
+    with np.errstate(over="ignore"):
+        high[wide] = high[wide] * np.uint64(0x9FB21C651E98DF25) ^ view[at[wide] + size[wide] - 8]
+    return low, high
+
+
 @dataclass
 class PerfectHash:
-    """Minimal perfect hash of words of at most 16 bytes: as many slots as words, found by one displacement per bucket."""
+    """Minimal perfect hash of words by their size and :func:`key_words`: as many slots as words, found by one displacement per bucket."""
 
     shift: np.ndarray  # by bucket; a negative one names the slot itself
     low: np.ndarray
@@ -114,9 +125,11 @@ class PerfectHash:
     @classmethod
     def build(cls, words: list[bytes], values: list[int]) -> PerfectHash:
         n = len(words)
-        both = np.frombuffer(b"".join(w.ljust(WIDE, b"\0") for w in words), "<u8").reshape(n, 2)
         size = np.array([len(w) for w in words], np.int64)
-        h = _mix(both[:, 0], both[:, 1], size)
+        low, high = key_words(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+        if len(set(zip(low.tolist(), high.tolist(), size.tolist()))) < n:
+            raise ValueError("two long words of the vocabulary have the same key")
+        h = _mix(low, high, size)
         buckets = max(1, n // 4)
         bucket = (h % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -146,7 +159,7 @@ class PerfectHash:
         shift[single] = -spare - 1
         place[order[begin[single]]] = spare
         out = cls(shift, *(np.empty(n, t) for t in (np.uint64, np.uint64, np.int64, np.int32)))
-        out.low[place], out.high[place], out.size[place], out.value[place] = both[:, 0], both[:, 1], size, values
+        out.low[place], out.high[place], out.size[place], out.value[place] = low, high, size, values
         return out
 
     def find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -173,18 +186,17 @@ class Encoder:
     def __init__(self, path: str):
         self.ids, self.ranks = load_ranks(path)
         # a word of the vocabulary that merging wouldn't reach isn't resolved whole
-        whole = [w for w in self.ids if len(w) <= WIDE and merge_bytes(w, self.ids, self.ranks) == [self.ids[w]]]
+        whole = [w for w in self.ids if merge_bytes(w, self.ids, self.ranks) == [self.ids[w]]]
         self.hash = PerfectHash.build(whole, [self.ids[w] for w in whole])
+        self.long = {self.ids[w]: w for w in whole if len(w) > WIDE}  # these are compared byte by byte
+        self.classes = character_classes()
         self.cache: dict[bytes, list[int]] = {}
-        self.classes: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "classes": None}
+        return self.__dict__ | {"cache": {}}
 
     def words(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Byte offsets at which pre-tokens begin; ``starts`` are those of the (non-empty) texts."""
-        if self.classes is None:
-            self.classes = character_classes()
         lead = np.flatnonzero((raw & 0xC0) != 0x80)
         if len(lead) == len(raw):
             code, c = raw, self.classes[:128][raw]
@@ -225,12 +237,10 @@ class Encoder:
         starts = offsets[:-1][np.diff(offsets) > 0]
         at = self.words(raw, starts)
         size = np.diff(np.append(at, len(raw)))
-        padded = np.append(raw, np.zeros(WIDE, np.uint8))
-        view = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
-        low = view[at] & MASK[np.minimum(size, 8)]
-        high = view[at + 8] & MASK[np.clip(size - 8, 0, 8)]
-        found = self.hash.find(low, high, size)
-        found[size > WIDE] = -1
+        found = self.hash.find(*key_words(raw, at, size), size)
+        for k in np.flatnonzero((found >= 0) & (size > WIDE)).tolist():
+            if raw[at[k] : at[k] + size[k]].tobytes() != self.long[int(found[k])]:
+                found[k] = -1
         miss = np.flatnonzero(found < 0)
         count = np.ones(len(at), np.int64)
         if len(miss):

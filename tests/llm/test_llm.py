@@ -197,10 +197,17 @@ def test_perfect_hash(coder):
     assert len(h.value) == len(np.unique(h.value)) == len(h.low)
     both = encode.load_ranks(encode.vocabulary_path("byte_bpe_50k.tiktoken"))[0]
     assert both == coder.ids
-    words = [b"zzqqy", b" the", b"the", b"\x00the"]
-    wide = np.frombuffer(b"".join(w.ljust(16, b"\0") for w in words), "<u8").reshape(-1, 2)
-    got = h.find(wide[:, 0], wide[:, 1], np.array([len(w) for w in words]))
+    long = max(coder.long.values(), key=len)
+    assert all(len(w) > encode.WIDE for w in coder.long.values()) and b" responsibilities" in coder.long.values()
+    words = [b"zzqqy", b" the", b"the", b"\x00the", long, *coder.long.values()]
+    size = np.array([len(w) for w in words])
+    got = h.find(*encode.key_words(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size), size)
     assert got.tolist() == [coder.ids.get(w, -1) for w in words]
+    # the same key, other bytes in the middle
+    like = b" unconstitutional"[:16] + b"xx" + long[-8:]
+    for text in (long, like, long[:16] + b"?" + long[16:]):
+        raw = np.frombuffer(text, np.uint8)
+        assert b"".join({v: k for k, v in coder.ids.items()}[i] for i in coder.encode(raw, np.array([0, len(raw)]))[0].tolist()) == text
 
 
 def test_merges_are_leftmost_by_rank(coder):
@@ -478,3 +485,20 @@ def test_removed_passages_in_the_tables(spark, data):
             assert slow_windows(text.encode(), prompts) and len(got[key]) < len(text)
     leaked = {doc for doc, _ in leaks_by_hand(list(texts.items()), [(r.item_id, r.prompt) for r in items.collect()])}
     assert {k for k in texts if got[k] != texts[k]} == leaked
+
+
+def test_queries_against_sql(spark, data):
+    import os
+
+    import duckdb
+
+    from strandlake.llm.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    for name in os.listdir(data):
+        con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{data}/{name}'")
+    for name, text in SQL.items():
+        df = QUERIES[name](spark, data)
+        columns = sorted(df.columns)
+        want = con.execute(f"SELECT {', '.join(columns)} FROM ({text}) t").fetchall()
+        assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(want, key=str), name
