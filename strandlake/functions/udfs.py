@@ -19,12 +19,13 @@ RETURN try_divide(
 """
 
 
-@udtf(returnType="pathid int, spanid int, span_start int, span_end int, score double, len int")
+@udtf(returnType="pathid int, spanid int, span_start int, span_end int, score double, len int", useArrow=True)
 class AlignVectors:
     """Hits of one pair of matrices given as arrays of vectors; for use with ``LATERAL``."""
 
-    def eval(self, query: list, target: list, window: int, min_span: int) -> Iterator[tuple]:
-        hits = align(np.array(query, float), np.array(target, float), AlignParams(window=window, min_span=min_span))
+    def eval(self, query: list, target: list, window: int, min_span: int, sigma: float = 2.0) -> Iterator[tuple]:
+        query, target = (np.stack([np.asarray(v, np.float64) for v in m]) for m in (query, target))
+        hits = align(query, target, AlignParams(window=window, min_span=min_span, sigma=float(sigma)))
         for pathid, spanid, start, end, _, score, length in hits:
             yield pathid, spanid, start, end, score, length
 

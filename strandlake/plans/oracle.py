@@ -185,6 +185,11 @@ SQL: dict[str, str] = {
           FROM greedy g JOIN ordered o ON o.queryid = g.queryid AND o.dbid = g.dbid AND o.r = g.r + 1)""", f"SELECT {KEYS} FROM ranked JOIN greedy USING (queryid, dbid, r) WHERE stays", True),
     "search_output": _output(HITS, "best", "round"),
     "full_search": _output(HITS + POOL_STEPS + ",\n" + KEPT + ",\nscreened AS (SELECT best.* FROM best JOIN kept USING (queryid, dbid))", "screened", "round_even"),
+    "streamed_search": _output(HITS + POOL_STEPS + ",\n" + KEPT + ",\nscreened AS (SELECT best.* FROM best JOIN kept USING (queryid, dbid))", "screened", "round_even"),
+    "vector_alignments": _with(HITS, "SELECT queryid, dbid, pathid, spanid, span_start, span_end, round(score, 6) AS score, len FROM best", True),
+    "missing_vectors": _with(BASE, "SELECT run_index, 'S' || lpad(CAST(run_index AS VARCHAR), 6, '0') AS id FROM idx WHERE run_index % 20 <> 0"),
+    "html_alignments": """
+        SELECT hit_id, loaded_at, '<table>' || array_to_string(list_transform([qseq, con, tseq], lambda r: '<tr><td>' || array_to_string(regexp_extract_all(r, '(?s).'), '</td><td>') || '</td></tr>'), '') || '</table>' AS html FROM hits""",
     "truth_overlap": _with(HITS + """,
         top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY queryid, dbid ORDER BY round(score, 9) DESC, len DESC, pathid DESC, spanid DESC) AS r FROM flat) t WHERE r = 1),
         got AS (SELECT p.queryid, p.dbid, p.y, p.x, p.k - p.first AS k FROM top t JOIN points p USING (queryid, dbid, pathid, spanid)),

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions.residues import alignment_rates
+from strandlake.functions.residues import alignment_rates, html_alignment
+from strandlake.functions.udfs import register
 from strandlake.functions.vectors import cosine, dimension_sums
 from strandlake.operators import align, batching, hits, output, score, screen, tools
 from strandlake.operators.compaction import compact, read_store
 from strandlake.operators.embed import HashEmbedder, embed
+from strandlake.operators.ranking import spread
 from strandlake.operators.split_values import one_per_key, split_values
 from strandlake.params import AlignParams, ScreenParams
 from strandlake.plans.fixtures import fixture
@@ -19,7 +21,7 @@ from strandlake.plans.oracle import SQL  # noqa: F401
 from strandlake.plans.search import search
 from strandlake.session import scratch_path, table
 from strandlake.sources import sequences, tables
-from strandlake.streaming.search import stream_window_counts
+from strandlake.streaming.search import stream_search, stream_window_counts
 
 PARAMS = AlignParams(window=3, min_span=3, gap=0.5, bfactor=2, sigma=1.0, filter_hits=False)
 KERNEL, STRIDE, QUANTILE = 10, 5, 0.7
@@ -241,6 +243,43 @@ def full_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(fx.query_index, fx.queries, fx.target_index, fx.targets, AlignParams(3, 3, sigma=1.0), ScreenParams(70, KERNEL, STRIDE))
 
 
+@query
+def streamed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`full_search`, of query files that a stream reads, with stored vectors."""
+    fx = fixture(spark, sf_dir)
+    asked, found = scratch_path(spark, "asked"), scratch_path(spark, "found")
+    fx.query_index.select("run_index", "id", "description", "sequence").write.parquet(asked)
+    run = stream_search(spark, asked, fx.target_index, fx.targets, found, scratch_path(spark, "stream-checkpoint"), AlignParams(3, 3, sigma=1.0), ScreenParams(70, KERNEL, STRIDE), vectors=fx.queries)
+    run.awaitTermination()
+    return spark.read.parquet(found).drop("batch")
+
+
+@query
+def vector_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function ``align_vectors`` in SQL, for all pairs."""
+    fx = fixture(spark, sf_dir)
+    register(spark)
+    vectors = F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda r: r["vec"])
+    q, t = (d.groupBy(F.col("run_index").alias(k)).agg(vectors.alias(v)) for d, k, v in ((fx.queries, "queryid", "q"), (fx.targets, "dbid", "t")))
+    rows = spread(fx.pairs.join(q, "queryid").join(t, "dbid"), "queryid", "dbid")
+    found = spark.sql("SELECT p.queryid, p.dbid, a.* FROM {p} p, LATERAL align_vectors(p.q, p.t, 3, 3, 1.0D) a", p=rows)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query
+def missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completeness of a store: the sequences that the queries' vectors lack."""
+    fx = fixture(spark, sf_dir)
+    return sequences.missing_embeddings(fx.target_index, fx.queries).select("run_index", "id")
+
+
+@query
+def html_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every delivered alignment as a table of its three rows."""
+    rows = table(spark, sf_dir, "hits")
+    return rows.select("hit_id", "loaded_at", html_alignment(F.col("qseq"), F.col("con"), F.col("tseq")).alias("html"))
+
+
 @query
 def hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consensus, identity and similarity of every delivered alignment, computed anew."""

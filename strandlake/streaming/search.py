@@ -30,11 +30,15 @@ def stream_search(
     cutoff: float = 0.3,
     make_embedder: Callable = HashEmbedder,
     once: bool = True,
+    vectors: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Start a stream over Parquet query indexes in ``query_folder``; each batch's hits are written below ``output`` by batch number, so a repeated batch replaces itself."""
+    """Start a stream over Parquet query indexes in ``query_folder``; each batch's hits are written below ``output`` by batch number, so a repeated batch replaces itself.
+
+    The queries' residue vectors are looked up in ``vectors`` if that is given, else made by the embedder.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        residues = embed(batch, make_embedder)
+        residues = embed(batch, make_embedder) if vectors is None else vectors.join(batch.select("run_index").distinct(), "run_index", "left_semi")
         hits = search(batch, residues, targets, target_residues, align, screening, cutoff)
         hits.write.mode("overwrite").parquet(f"{output}/batch={number}")
 
