@@ -36,6 +36,8 @@ PLACEMENT = "dir string, first long, fan long, held long"
 CLAIM_SECONDS = 600
 #: A directory or part is placed anew beyond so many times its target.
 OVERFULL = 2
+#: Tasks of a rewrite at most.
+MOST_TASKS = 20_000
 
 
 class SnapshotConflict(RuntimeError):
@@ -250,8 +252,9 @@ def compact(
         sources.append(chosen.select("r.*", "b.part_id"))
         parts = max(parts, best.agg(F.approx_count_distinct("part_id")).first()[0])
     whole = sources[0] if len(sources) == 1 else sources[0].unionByName(sources[1])
-    # one shuffle for the choice of the copy and for the layout; more tasks than parts, so that few tasks have several
-    placed = latest_copy(whole.repartition(4 * parts, "part_id")).withColumn("write", F.lit(write))
+    # one shuffle for the choice of the copy and for the layout; more tasks than parts, so that few tasks have several. Beyond
+    # MOST_TASKS they have, and write them one after the other
+    placed = latest_copy(whole.repartition(min(4 * parts, MOST_TASKS), "part_id")).withColumn("write", F.lit(write))
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part_id", "write").parquet(f"{store}/data")
 
     new = _listed(spark, store, f"write={write}").groupBy("part_id", "write").agg(F.count("*").alias("files"), F.count_if(F.col("bytes") < small_bytes).alias("small"), F.sum("bytes").alias("bytes"))
