@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.ranking import totals_before
-from strandlake.session import broadcast_if_small, cut, cut_counted
+from strandlake.session import cut, cut_counted
 
 RECORD = ["dir", "run_index"]
 STORED = ["dir", "run_index", "file_id", "size_bytes", "modified_at", "payload"]
@@ -117,7 +117,7 @@ def current_snapshot(spark: SparkSession, store: str) -> dict:
     """The last committed snapshot; version 0 for a new store."""
     done = _versions(spark, store)
     if not done:
-        return {"version": 0, "write": None, "open_part": 0, "open_bytes": 0, "next_part": 1}
+        return {"version": 0, "write": None, "open_part": 0, "open_bytes": 0, "next_part": 1, "files": 0, "writes": 0, "parts": 0, "directories": 0}
     return json.loads(_read_text(spark, f"{store}/snapshots/v{done[-1]:08d}.json"))
 
 
@@ -144,12 +144,18 @@ def part_files(spark: SparkSession, store: str) -> DataFrame:
     return _listed(spark, store).join(live.select("part_id", "write"), ["part_id", "write"], "left_semi").select("part_id", "path", "bytes")
 
 
-def _content(spark: SparkSession, store: str, live: DataFrame) -> DataFrame:
-    """The rows of the writes in ``live``, with ``part_id``. Copies of one record may be among them."""
-    if not live.head(1):
+def _small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
+    """A broadcast hint for a table whose rows are counted already."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def _content(spark: SparkSession, store: str, live: DataFrame, writes: int) -> DataFrame:
+    """The rows of the writes in ``live`` (``writes`` at most), with ``part_id``. Copies of one record may be among them."""
+    fs, hpath = _fs(spark, f"{store}/data")
+    if not writes or not fs.exists(hpath):
         return spark.createDataFrame([], CONTENT + ", part_id long")
     data = spark.read.schema(CONTENT + ", part_id long, write string").parquet(f"{store}/data")
-    return data.join(broadcast_if_small(live.select("part_id", "write")), ["part_id", "write"], "left_semi").select(*STORED, "part_id")
+    return data.join(_small(live.select("part_id", "write"), writes), ["part_id", "write"], "left_semi").select(*STORED, "part_id")
 
 
 # --- placement -----------------------------------------------------------------------------------------------------
@@ -159,41 +165,43 @@ def _same(a: str, b: str, *columns: str) -> list[Column]:
     return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns]
 
 
-def place(rows: DataFrame, placement: DataFrame) -> DataFrame:
-    """Add ``part_id``: the directory's part, or one of its parts by the record."""
-    joined = rows.alias("r").join(broadcast_if_small(placement).alias("p"), _same("r", "p", "dir"))
+def place(rows: DataFrame, placement: DataFrame, directories: int) -> DataFrame:
+    """Add ``part_id``: the directory's part, or one of its parts by the record. The placement has so many ``directories``."""
+    joined = rows.alias("r").join(_small(placement, directories).alias("p"), _same("r", "p", "dir"))
     return joined.select("r.*", (F.col("p.first") + F.pmod(F.xxhash64("r.run_index"), F.col("p.fan"))).alias("part_id"))
 
 
-def _placed_anew(spark: SparkSession, snapshot: dict, placement: DataFrame, best: DataFrame, target: int) -> tuple[DataFrame, DataFrame, dict]:
-    """The placement with the arrivals, the parts that lose a directory, and where the next ones go.
+def _placed_anew(spark: SparkSession, snapshot: dict, placement: DataFrame, best: DataFrame, target: int, path: str) -> tuple[DataFrame, DataFrame, dict]:
+    """The placement with the arrivals (written to ``path``), the parts that lose a directory, and where the next ones go.
 
     Small directories fill the open part and then new ones, in their order; a large one gets ``fan`` new parts. Both follow
-    from running totals over all directories that need a place.
+    from running totals over all directories that need a place. A total that was counted twice by a task that ran again only leaves
+    numbers of parts unused.
     """
     added = best.groupBy("dir").agg(F.sum("size_bytes").alias("added"))
-    both = added.alias("a").join(placement.alias("p"), _same("a", "p", "dir"), "full")
+    both = added.alias("a").join(_small(placement, snapshot["directories"]).alias("p"), _same("a", "p", "dir"), "full")
     known = both.select(F.coalesce("a.dir", "p.dir").alias("dir"), "first", "fan", (F.coalesce("held", F.lit(0)) + F.coalesce("added", F.lit(0))).alias("held"))
-    known = cut(known, "directories")
     crowds = known.where("fan = 1").groupBy("first").agg(F.sum("held").alias("_h"), F.count("*").alias("_d")).where((F.col("_h") > OVERFULL * target) & (F.col("_d") > 1)).select("first", F.lit(True).alias("_over"))
-    marked = known.join(broadcast_if_small(crowds), "first", "left")
     moves = F.col("first").isNull() | (F.col("held") > OVERFULL * target * F.col("fan")) | ((F.col("fan") == 1) & F.coalesce("_over", F.lit(False)))
-    marked, counts = cut_counted(marked.withColumn("_moves", moves).drop("_over"), "placement", n=F.count_if("_moves"))
-    if not counts["n"]:
-        return marked.drop("_moves"), spark.createDataFrame([], "part_id long"), snapshot
-    moved = marked.where("_moves")
-    left = moved.where("first is not null").select(F.explode(F.sequence("first", F.col("first") + F.col("fan") - 1)).alias("part_id")).distinct()
-    moved = moved.select("dir", "held", (F.col("held") > target).alias("_large"), F.ceil(F.col("held") / target).alias("_parts"))
-    # one order for both: a small directory counts by its bytes, a large one by its parts
-    laid = totals_before(moved, ["dir"], {"_bytes": F.when(~F.col("_large"), F.col("held")).otherwise(0), "_fans": F.when(F.col("_large"), F.col("_parts")).otherwise(0)})
-    sums = moved.agg(F.sum(F.when(~F.col("_large"), F.col("held")).otherwise(0)).alias("b"), F.sum(F.when(F.col("_large"), F.col("_parts")).otherwise(0)).alias("f")).first()
-    step = F.floor((F.lit(snapshot["open_bytes"]) + F.col("_bytes")) / target)
-    opened = (snapshot["open_bytes"] + sums["b"]) // target
-    next_part = snapshot["next_part"] + opened
-    first = F.when(F.col("_large"), F.lit(next_part) + F.col("_fans")).when(step == 0, F.lit(snapshot["open_part"])).otherwise(snapshot["next_part"] + step - 1)
-    anew = laid.select("dir", first.cast("long").alias("first"), F.when(F.col("_large"), F.col("_parts")).otherwise(1).cast("long").alias("fan"), "held")
-    after = {"open_part": snapshot["next_part"] + opened - 1 if opened else snapshot["open_part"], "open_bytes": (snapshot["open_bytes"] + sums["b"]) % target, "next_part": next_part + sums["f"]}
-    return cut(marked.where("not _moves").select("dir", "first", "fan", "held").unionByName(anew), "placement"), left, after
+    parts = F.when(F.col("held") > target, F.ceil(F.col("held") / target)).otherwise(0)
+    marked = known.join(crowds, "first", "left").select("dir", "first", "fan", "held", moves.alias("_moves"), parts.alias("_fan"))
+    taken = {"n": F.count(F.lit(1)), "bytes": F.sum(F.when(F.col("_moves") & (F.col("_fan") == 0), F.col("held"))), "fans": F.sum(F.when(F.col("_moves"), F.col("_fan"))), "moved": F.count_if("_moves")}
+    marked, sums = cut_counted(marked, "placement", **taken)
+    after = {**snapshot, "directories": sums["n"]}
+    kept, left = marked.where("not _moves").select("dir", "first", "fan", "held"), spark.createDataFrame([], "part_id long")
+    if sums["moved"]:
+        moved = marked.where("_moves")
+        left = moved.where("first is not null").select(F.explode(F.sequence("first", F.col("first") + F.col("fan") - 1)).alias("part_id")).distinct()
+        # one order for both: a small directory counts by its bytes, a large one by its parts
+        laid = totals_before(moved.select("dir", "held", "_fan"), ["dir"], {"_bytes": F.when(F.col("_fan") == 0, F.col("held")).otherwise(0), "_fans": F.col("_fan")})
+        step = F.floor((F.lit(snapshot["open_bytes"]) + F.col("_bytes")) / target)
+        opened = (snapshot["open_bytes"] + sums["bytes"]) // target
+        next_part = snapshot["next_part"] + opened
+        first = F.when(F.col("_fan") > 0, F.lit(next_part) + F.col("_fans")).when(step == 0, F.lit(snapshot["open_part"])).otherwise(snapshot["next_part"] + step - 1)
+        kept = kept.unionByName(laid.select("dir", first.cast("long").alias("first"), F.greatest(F.col("_fan"), F.lit(1)).cast("long").alias("fan"), "held"))
+        after |= {"open_part": snapshot["next_part"] + opened - 1 if opened else snapshot["open_part"], "open_bytes": (snapshot["open_bytes"] + sums["bytes"]) % target, "next_part": next_part + sums["fans"]}
+    kept.write.parquet(path)
+    return spark.read.schema(PLACEMENT).parquet(path), left, after
 
 
 # --- compaction ----------------------------------------------------------------------------------------------------
@@ -220,9 +228,8 @@ def compact(
     repeated rows are one copy; other columns, of any name, are not stored.
     """
     before = current_snapshot(spark, store)
-    manifest = cut(_state(spark, store, before, "manifest", MANIFEST), "manifest")
-    placement = _state(spark, store, before, "placement", PLACEMENT)
-    held_files = manifest.agg(F.sum("files")).first()[0] or 0
+    write = f"w{before['version'] + 1}-{uuid.uuid4().hex[:12]}"
+    manifest, placement = (_state(spark, store, before, *kind) for kind in (("manifest", MANIFEST), ("placement", PLACEMENT)))
     leaving, after = spark.createDataFrame([], "part_id long"), before
     small = manifest.groupBy("part_id").agg(F.sum("small").alias("n"))
     good = best = None
@@ -231,26 +238,28 @@ def compact(
         good = good.withColumn("dir", normal_dir(F.col("embeddingpath"))).select(*STORED)
         best, counts = cut_counted(best_copies(good), "best", n=F.count(F.lit(1)))
         if counts["n"]:
-            placement, leaving, after = _placed_anew(spark, before, placement, best, target_bytes)
-            best = cut(place(best, placement), "best")
+            placement, leaving, after = _placed_anew(spark, before, placement, best, target_bytes, f"{store}/state/{write}/placement")
+            best = place(best, placement, after["directories"])
             small = small.unionByName(best.where(F.col("size_bytes") < small_bytes).groupBy("part_id").agg(F.count("*").alias("n")))
         else:
             best = None
     crowded = small.groupBy("part_id").agg(F.sum("n").alias("n")).where(F.col("n") > max_small_files).select("part_id")
-    rewrite, counts = cut_counted(crowded.unionByName(leaving).distinct(), "rewrite", n=F.count(F.lit(1)))
-    n_rewrite = counts["n"]
+    rewrite, n_rewrite = cut_counted(crowded.unionByName(leaving).distinct(), "rewrite", n=F.count(F.lit(1)))
+    n_rewrite = n_rewrite["n"]
     if not n_rewrite and best is None:
-        return CompactionReport(before["version"], 0, held_files, held_files)
+        return CompactionReport(before["version"], 0, before["files"], before["files"])
+    if best is None:
+        placement.write.parquet(f"{store}/state/{write}/placement")
 
-    write = f"w{before['version'] + 1}-{uuid.uuid4().hex[:12]}"
-    old = manifest.join(broadcast_if_small(rewrite), "part_id", "left_semi")
-    sources = [place(_content(spark, store, old).drop("part_id"), placement)]
+    chosen_parts = _small(rewrite, n_rewrite)
+    old = manifest.join(chosen_parts, "part_id", "left_semi")
+    sources = [place(_content(spark, store, old, before["writes"]).drop("part_id"), placement, after["directories"])]
     parts = n_rewrite
     if best is not None:
         # copies that aren't the best one of their record go no further; equal rows still do
-        chosen = good.alias("r").join(broadcast_if_small(best.select(*RECORD, "file_id", "modified_at", "part_id")).alias("b"), _same("r", "b", *RECORD, "file_id", "modified_at"))
-        sources.append(chosen.select("r.*", "b.part_id"))
-        parts = max(parts, best.agg(F.approx_count_distinct("part_id")).first()[0])
+        winners = _small(best.select(*RECORD, "file_id", "modified_at", "part_id"), counts["n"])
+        sources.append(good.alias("r").join(winners.alias("b"), _same("r", "b", *RECORD, "file_id", "modified_at")).select("r.*", "b.part_id"))
+        parts = max(parts, min(after["next_part"], counts["n"]))
     whole = sources[0] if len(sources) == 1 else sources[0].unionByName(sources[1])
     # one shuffle for the choice of the copy and for the layout; more tasks than parts, so that few tasks have several. Beyond
     # MOST_TASKS they have, and write them one after the other
@@ -258,15 +267,13 @@ def compact(
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part_id", "write").parquet(f"{store}/data")
 
     new = _listed(spark, store, f"write={write}").groupBy("part_id", "write").agg(F.count("*").alias("files"), F.count_if(F.col("bytes") < small_bytes).alias("small"), F.sum("bytes").alias("bytes"))
-    now = manifest.join(broadcast_if_small(rewrite), "part_id", "left_anti").unionByName(new)
-    now.write.parquet(f"{store}/state/{write}/manifest")
-    placement.write.parquet(f"{store}/state/{write}/placement")
-    if current_snapshot(spark, store)["version"] != before["version"] or _changed(spark, store, old):
+    manifest.join(chosen_parts, "part_id", "left_anti").unionByName(new).write.parquet(f"{store}/state/{write}/manifest")
+    totals = _state(spark, store, {"write": write}, "manifest", MANIFEST).agg(F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.count("*").alias("writes"), F.countDistinct("part_id").alias("parts")).first()
+    if current_snapshot(spark, store)["version"] != before["version"] or (before["writes"] and _changed(spark, store, old)):
         raise SnapshotConflict(f"the store moved on from version {before['version']}")
     version = before["version"] + 1
-    _create_new(spark, f"{store}/snapshots/v{version:08d}.json", json.dumps({**after, "version": version, "write": write}))
-    files = _state(spark, store, {"write": write}, "manifest", MANIFEST).agg(F.sum("files")).first()[0] or 0
-    return CompactionReport(version, n_rewrite, held_files, files)
+    _create_new(spark, f"{store}/snapshots/v{version:08d}.json", json.dumps({**after, **totals.asDict(), "version": version, "write": write}))
+    return CompactionReport(version, n_rewrite, before["files"], totals["files"])
 
 
 def _changed(spark: SparkSession, store: str, read: DataFrame) -> bool:
@@ -277,10 +284,13 @@ def _changed(spark: SparkSession, store: str, read: DataFrame) -> bool:
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """Every record of the current snapshot once, without ``part_id``. Changes that are committed later don't show, until :func:`vacuum` drops what they replaced."""
-    live = _state(spark, store, current_snapshot(spark, store), "manifest", MANIFEST)
+    now = current_snapshot(spark, store)
+    live = _state(spark, store, now, "manifest", MANIFEST)
+    if now["writes"] == now["parts"]:  # each record stands once
+        return _content(spark, store, live, now["writes"]).drop("part_id")
     several = live.groupBy("part_id").agg(F.count("*").alias("_w")).where("_w > 1").select("part_id")
-    whole = _content(spark, store, live.join(several, "part_id", "left_anti"))
-    return whole.unionByName(latest_copy(_content(spark, store, live.join(several, "part_id", "left_semi")))).drop("part_id")
+    whole = _content(spark, store, live.join(several, "part_id", "left_anti"), now["writes"])
+    return whole.unionByName(latest_copy(_content(spark, store, live.join(several, "part_id", "left_semi"), now["writes"]))).drop("part_id")
 
 
 def vacuum(spark: SparkSession, store: str, keep: int = 2, least_age_seconds: int = 86_400) -> int:

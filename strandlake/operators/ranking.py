@@ -56,7 +56,7 @@ def totals_before(df: DataFrame, order: list[str], values: dict[str, Column]) ->
     base = parts.select("_p", *((F.sum(c).over(before) - F.col(c)).alias(f"_0{c}") for c in values))
     within = Window.partitionBy("_p").orderBy("_m")
     sums = placed.withColumns({c: F.sum(c).over(within) - F.col(c) for c in values})
-    return sums.join(broadcast_if_small(base), "_p").withColumns({c: F.col(c) + F.col(f"_0{c}") for c in values}).select(*df.columns, *values)
+    return sums.join(F.broadcast(base), "_p").withColumns({c: F.col(c) + F.col(f"_0{c}") for c in values}).select(*df.columns, *values)
 
 
 def walk(df: DataFrame, key: str, order: list[str | Column], columns: list[str], step: Step, schema: str) -> tuple[DataFrame, DataFrame]:
