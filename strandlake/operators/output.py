@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.residues import consensus, identity, render, similarity
@@ -36,8 +36,18 @@ def format_hits(hits: DataFrame, queries: DataFrame, targets: DataFrame, cutoff:
     return rows.select(*OUTPUT_COLUMNS, "sdesc")
 
 
+def round_scaled(value: Column, decimals: int) -> Column:
+    """Scaled, rounded to a whole number (half away from zero) and scaled back, as DuckDB rounds doubles.
+
+    Spark's ``round`` takes the shortest decimal text of the value instead: 0.5005, as a double a little below that, is 0.501
+    there and 0.5 here. Null, NaN, infinities and values too large to scale stay as they are.
+    """
+    scaled = value * F.lit(10.0**decimals)
+    return F.when(F.abs(scaled) < F.lit(float("inf")), F.round(scaled) / F.lit(10.0**decimals)).otherwise(value)
+
+
 def mirror_hits(rows: DataFrame, descriptions: DataFrame | None = None, decimals: int = 2) -> DataFrame:
-    """Add, for each hit whose pair was never found the other way round, the hit with its sides swapped; scores to ``decimals``.
+    """Add, for each hit whose pair was never found the other way round, the hit with its sides swapped; scores to ``decimals`` by :func:`round_scaled`.
 
     ``con`` and ``match_len`` stay as they are. ``sdesc``, if present, becomes the description of the new subject, from
     ``descriptions`` ``(id, description)``, or null. Rows with a null ``qid`` or ``sid`` aren't mirrored.
@@ -52,7 +62,7 @@ def mirror_hits(rows: DataFrame, descriptions: DataFrame | None = None, decimals
         else:
             named = descriptions.where("id is not null").groupBy(F.col("id").alias("sid")).agg(F.max("description").alias("sdesc"))
             mirrored = mirrored.join(named, "sid", "left")
-    return rows.unionByName(mirrored.select(*rows.columns)).withColumn("score", F.round("score", decimals))
+    return rows.unionByName(mirrored.select(*rows.columns)).withColumn("score", round_scaled(F.col("score"), decimals))
 
 
 def final_order(rows: DataFrame) -> DataFrame:

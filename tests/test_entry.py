@@ -34,6 +34,30 @@ def test_against_sql(spark, views, data, name):
         assert got == sorted((tuple(same(dict(zip(names, r))[c]) for c in columns) for r in cursor.fetchall()), key=str)
 
 
+def odd_hits(spark, data, folder, **odd):
+    """Hits of one pair each, one for each odd value of a column; the rows of a query and those of its SQL."""
+    base = spark.read.parquet(f"{data}/hits.parquet").where("qid is not null").first().asDict()
+    rows = [base | {c: v, "hit_id": k} for k, (c, v) in enumerate((c, v) for c, vs in odd.items() for v in vs)]
+    spark.createDataFrame(rows, spark.read.parquet(f"{data}/hits.parquet").schema).write.parquet(f"{folder}/hits.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW hits AS SELECT * FROM '{folder}/hits.parquet/*.parquet'")
+
+    def both(name):
+        cursor = con.execute(core.SQL[name])
+        columns = [c[0] for c in cursor.description]
+        return tuple(sorted((tuple(map(same, r)) for r in found), key=str) for found in (core.QUERIES[name](spark, str(folder)).select(*columns).collect(), cursor.fetchall()))
+
+    return both
+
+
+@pytest.mark.parametrize("name", ["mirrored_hits", "all_mirrored_hits"])
+def test_mirrored_scores_round_as_in_sql(spark, data, tmp_path, name):
+    """Halves that doubles miss, null, NaN, infinities, values too large to scale."""
+    scores = [0.5005, 0.5015, -0.5005, 1.0005, 2.0035, 16.0845, 0.0005, 0.1, None, float("inf"), float("-inf"), 1e300, 1.7e308]
+    got, wanted = odd_hits(spark, data, tmp_path, score=scores + [float("nan")] * (name == "all_mirrored_hits"))(name)
+    assert got == wanted and len(got) >= len(scores)
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
