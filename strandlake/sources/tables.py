@@ -9,17 +9,22 @@ from strandlake.schema import OUTPUT
 
 #: Spaces at the ends of a consensus string count, so they must outlive the file.
 CSV = {"sep": ";", "header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: A file is read by one task, since a line end may lie inside a field; so files are kept to some 100 MB.
+FILE_ROWS = 400_000
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
-    """A ``;`` file of delivered hits, or a folder of them. Empty fields are null: an empty text isn't told from a missing one."""
-    return spark.read.csv(path, schema=OUTPUT, **CSV)
+    """A ``;`` file of delivered hits, or a folder of them. Empty fields are null: an empty text isn't told from a missing one.
+
+    Quoted fields may hold line ends, so a file isn't split: it is streamed by one task, folders are read file by file.
+    """
+    return spark.read.csv(path, schema=OUTPUT, multiLine=True, **CSV)
 
 
 def write_hits(rows: DataFrame, path: str, separate: bool = False, one_file: bool = False) -> None:
-    """``;`` files with a header; ``separate``: a folder per query. Line ends inside a field would break it, so they are quoted."""
+    """``;`` files with a header; ``separate``: a folder per query. Line ends inside a field are quoted, for readers that take several lines as one row."""
     out = rows.repartition("qid") if separate else rows.coalesce(1) if one_file else rows
-    writer = out.write.mode("overwrite").options(**CSV)
+    writer = out.write.mode("overwrite").options(**CSV, maxRecordsPerFile=0 if one_file else FILE_ROWS)
     (writer.partitionBy("qid") if separate else writer).csv(path)
 
 

@@ -58,6 +58,14 @@ def test_mirrored_scores_round_as_in_sql(spark, data, tmp_path, name):
     assert got == wanted and len(got) >= len(scores)
 
 
+def test_csv_keeps_odd_texts(spark, data, tmp_path):
+    """Line ends of all kinds inside a field, quotes, separators, escapes, spaces and words that look like values."""
+    texts = ["a\nb", "a\rb", "a\r\nb", "\n", '\\"x"\n;', "\n;;\n", 'a"b', "a\\", "a;b", " a ", "NaN", "null", "", "#x", None]
+    scores = [float("nan"), None, float("inf"), float("-inf"), 0.5005, 1e-300]
+    got, wanted = odd_hits(spark, data, tmp_path, qid=texts, sid=texts, con=texts, sdesc=texts, score=scores)("all_hits_csv_round_trip")
+    assert got == wanted and len(got) == 4 * len(texts) + len(scores)
+
+
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
